@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import sharding, simhash
+from veil.llm import bpe, language_id, sharding, simhash, token_store
 from veil.llm.common import table
 
 
@@ -14,11 +15,34 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text, and what they decode to, as digests."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 2 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op6_simhash": op6_simhash}
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and CRC as read back from the Huffman-coded store."""
+    return token_store.store_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs), keep=["doc_id"])
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_bpe": op2_bpe,
+    "op6_simhash": op6_simhash,
+    "op8_token_store": op8_token_store,
+    "op10_language_id": op10_language_id,
+}
 ORACLES: dict[str, str] = {}
