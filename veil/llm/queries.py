@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, decontaminate, language_id, line_dedup, sharding, simhash, token_store
+from veil.llm import bpe, decontaminate, language_id, line_dedup, sharding, simhash, suffix_dedup, token_store
 from veil.llm.common import table
 
 
@@ -25,6 +25,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the bytes under 200-byte strings that start anywhere else, as digests."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 2 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
@@ -53,6 +59,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op8_token_store": op8_token_store,
     "op9_line_dedup": op9_line_dedup,
