@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, decontaminate, language_id, line_dedup, sharding, simhash, suffix_dedup, token_store
+from veil.llm import bpe, decontaminate, language_id, line_dedup, quality, sharding, simhash, suffix_dedup, token_store, topk
 from veil.llm.common import table
 
 
@@ -31,12 +31,23 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors, by Hamming distance of sign codes, of every vector whose id 50 divides."""
+    return topk.search(table(spark, sf_dir, "embeddings"), k=10, every=50)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 2 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document: its own evidence with its source's and its source and language's posteriors."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), host="source", path="concat_ws('/', source, lang)")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and CRC as read back from the Huffman-coded store."""
     return token_store.store_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -60,9 +71,11 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_topk": op5_topk,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_token_store": op8_token_store,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {"op5_topk": topk.SQL, "op9_line_dedup": line_dedup.SQL}
