@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import logging
 from pathlib import Path
+from unicodedata import normalize
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,6 @@ def add_entity(folder: str | Path, kind: str, value: str) -> bool:
 
 def normalise_name(name: Column) -> Column:
     """Stripped, one pair of quotes off, NFC, single blanks."""
-    from unicodedata import normalize
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else normalize("NFC", x))

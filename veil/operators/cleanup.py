@@ -25,9 +25,10 @@ def collapse_gibberish(text: Column) -> Column:
         found, between = F.regexp_extract_all(text, F.lit(block), F.lit(0)), F.split(text, block, -1)
         return F.array_join(F.transform(F.arrays_zip(between.alias("p"), F.transform(found, shorten).alias("m")), lambda z: F.concat(z["p"], F.coalesce(z["m"], F.lit("")))), "")
 
-    for block in ("\\[[^\\]]+\\]", "\\([^\\)]+\\)"):
-        text = let(text, lambda t, block=block: F.when(t.rlike(C.GIBBERISH), inside(t, block)).otherwise(t))
-    return text
+    def collapsed(text: Column, block: str) -> Column:
+        return let(text, lambda t: F.when(t.rlike(C.GIBBERISH), inside(t, block)).otherwise(t))
+
+    return collapsed(collapsed(text, "\\[[^\\]]+\\]"), "\\([^\\)]+\\)")
 
 
 def dedupe_lines(text: Column) -> Column:

@@ -200,27 +200,40 @@ def joined_spans(docs: DataFrame, entities: DataFrame, stop_words: list[str], id
     """(id, kind, beg, end, text): entities (match, kind) as written, by equi-join on their first token.
 
     Tokens are runs of letters and digits.  An entity with none of them is not found this way.  Spark broadcasts the entity side only if
-    it measures small; texts travel once, to be checked against the join's candidates within their own row.
+    it measures small; tokens meet entities without their texts, and texts travel once, to be checked against their own candidates.
     """
     token = f"[{C.LETTERS}]+"
     first = F.regexp_extract(F.lower("match"), token, 0)
-    wanted = entities.select("kind", F.lower("match").alias("low"), first.alias("token"), F.length("match").alias("size")).where("token <> ''")
-    wanted = wanted.withColumn("lead", F.instr(F.col("low"), F.col("token")) - 1).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    tokens = texts.select("id", "t", F.explode(matches(F.col("t"), token)).alias("m")).select("id", "t", F.lower("m.text").alias("token"), F.col("m.beg").alias("at"))
-    beg, end = F.col("at") - F.col("lead"), F.col("at") - F.col("lead") + F.col("size")
-    hit = F.substring(F.col("t"), F.col("beg") + 1, F.col("size"))
-    before, after = F.substring(F.col("t"), F.col("beg"), F.lit(1)), F.substring(F.col("t"), F.col("end") + 1, F.lit(1))
-    run_left = F.regexp_extract(F.substring(F.col("t"), F.lit(1), F.col("beg")), "(?U)[^\\s\\[\\]()<>]*$", 0)
-    run_right = F.regexp_extract(F.substring(F.col("t"), F.col("end") + 1, F.length("t")), "(?U)^[^\\s\\[\\]()<>]*", 0)
-    link = F.lower(F.concat(run_left, "own", run_right))
-    found = (
-        tokens.join(wanted, "token").withColumn("beg", beg).withColumn("end", end).where("beg >= 0").withColumn("own", hit).where("lower(own) = low")
-        .where((F.when(F.col("beg") > 0, ~before.rlike(f"[{C.LETTERS}]")).otherwise(True)) & ~after.rlike(f"[{C.LETTERS}]"))
-        .where(~(F.contains(link, F.lit("://")) | link.startswith("www.") | link.rlike("(?U)\\.[a-z]{2,15}(?:/|\\b)")))
-        .where(~((F.col("size") <= 3) & islower(F.col("own"))) & ~(F.col("kind").isin(*CAPITALISED) & islower(F.col("own"))) & F.col("own").rlike("\\p{L}"))
-    )
-    if stop_words:
-        found = found.where(~(islower(F.col("own")) & F.col("own").isin(stop_words)))
-    candidates = found.select("id", "kind", span(F.col("beg"), F.col("end"), "", F.col("own"), "", 0).alias("s")).groupBy("id", "kind").agg(F.collect_set("s").alias("all"))
-    return candidates.select("id", "kind", F.explode(longest_first(F.col("all"))).alias("s")).select(F.col("id").alias(id_col), "kind", F.col("s.beg").alias("beg"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
+    wanted = entities.select("kind", F.lower("match").alias("low"), first.alias("token")).where("token <> ''").distinct()
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(token), F.lit(0)), F.lower))
+    tokens = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("token"))
+    near = tokens.join(wanted, "token").select("id", F.struct("kind", "low").alias("c"))
+    by_text = near.groupBy("id").agg(F.collect_set("c").alias("wanted"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
+    both = texts.join(by_text.hint("shuffle_hash"), F.col("_id") == F.col("id")).select("id", "t", F.lower("t").alias("l"), "wanted")
+    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    ahead = lambda low: F.concat(quoted(F.left(low, F.lit(1))), F.lit("(?="), quoted(F.substring(low, F.lit(2), F.length(low))), F.lit(")"))  # noqa: E731  overlapping places too
+
+    def places(c: Column) -> Column:
+        at = lambda m: F.struct(c["kind"].alias("kind"), c["low"].alias("low"), m["beg"].alias("beg"), (m["beg"] + F.length(c["low"])).alias("end"))
+        return F.transform(matches(F.col("l"), ahead(c["low"])), at)
+
+    both = both.select("id", "t", F.flatten(F.transform("wanted", places)).alias("all"))
+
+    def fits(c: Column) -> Column:
+        own = F.substring(F.col("t"), c["beg"] + 1, c["end"] - c["beg"])
+        before, after = F.substring(F.col("t"), c["beg"], F.lit(1)), F.substring(F.col("t"), c["end"] + 1, F.lit(1))
+        apart = ((c["beg"] == 0) | ~before.rlike(f"[{C.LETTERS}]")) & ~after.rlike(f"[{C.LETTERS}]")
+        left = F.element_at(F.split(F.substring(F.col("t"), F.lit(1), c["beg"]), "(?U)[\\s\\[\\]()<>]", -1), -1)
+        right = F.get(F.split(F.substring(F.col("t"), c["end"] + 1, F.length("t")), "(?U)[\\s\\[\\]()<>]", 2), F.lit(0))
+        link = F.lower(F.concat(left, own, right))
+        linked = F.contains(link, F.lit("://")) | link.startswith("www.") | link.rlike("(?U)\\.[a-z]{2,15}(?:/|\\b)")
+        small = islower(own)
+        wrong = small & ((F.length(own) <= 3) | c["kind"].isin(*CAPITALISED) | (own.isin(stop_words) if stop_words else F.lit(False)))
+        return (F.lower(own) == c["low"]) & apart & ~wrong & own.rlike("\\p{L}") & ~linked
+
+    each = both.select("id", F.transform(F.filter("all", fits), lambda c: F.struct(c["kind"].alias("kind"), span(c["beg"], c["end"], "", F.substring(F.col("t"), c["beg"] + 1, c["end"] - c["beg"]), "", 0).alias("s"))).alias("all"))
+    kinds = F.explode(F.array_distinct(F.transform("all", lambda c: c["kind"])))
+    grouped = each.select("id", "all", kinds.alias("kind"))
+    own = F.transform(F.filter("all", lambda c: c["kind"] == F.col("kind")), lambda c: c["s"])
+    return grouped.select("id", "kind", F.explode(longest_first(own)).alias("s")).select(F.col("id").alias(id_col), "kind", F.col("s.beg").alias("beg"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))

@@ -9,29 +9,42 @@ from veil.functions.text import let
 
 SPAN = "struct<beg:int,end:int,type:string,text:string,detector:string,rank:int,link_text:string,url:string,bracket_pairs:int>"
 SPANS = f"array<{SPAN}>"
+#: Matches are placed in chunks, since an array that grows by one is copied each time.
+CHUNK = 64
 
 
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<beg, end, text>> of all non-empty matches, offsets in code points.
 
     Spark has no function for positions, so they are summed up from the pieces between matches; texts without a match are not split.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
+    hits = "array<struct<beg:int,end:int,text:string>>"
 
     def place(m: Column) -> Column:
         pieces = F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(F.array(text))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<beg:int,end:int,text:string>>").alias("out"), F.lit(0).alias("i"))
 
-        def step(p: Column, s: Column, x: Column) -> Column:
-            beg = s["at"] + F.length(F.get(p, s["i"]))
-            span = F.struct(beg.alias("beg"), (beg + F.length(x)).alias("end"), x.alias("text"))
-            return F.struct((beg + F.length(x)).alias("at"), F.concat(s["out"], F.array(span)).alias("out"), (s["i"] + 1).alias("i"))
+        def one(s: Column, z: Column) -> Column:
+            beg = s["at"] + F.length(z["p"])
+            end = beg + F.length(z["m"])
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(beg.alias("beg"), end.alias("end"), z["m"].alias("text")))).alias("out"))
 
-        return let(pieces, lambda p: F.aggregate(m, start, lambda s, x: step(p, s, x), lambda s: s["out"]))
+        def chunk(s: Column, zipped: Column, c: Column) -> Column:
+            start = F.struct(s["at"].alias("at"), F.array().cast(hits).alias("out"))
+            done = F.aggregate(F.slice(zipped, c * CHUNK + 1, F.lit(CHUNK)), start, one)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+        def all_chunks(zipped: Column) -> Column:
+            start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{hits}>").alias("out"))
+            chunks = F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / CHUNK).cast("int"))
+            return F.aggregate(chunks, start, lambda s, c: chunk(s, zipped, c), lambda s: F.flatten(s["out"]))
+
+        zipped = let(pieces, lambda p: F.arrays_zip(F.slice(p, 1, F.size(m)).alias("p"), m.alias("m")))
+        return F.when(F.size(m) > 0, let(zipped, all_chunks)).otherwise(F.array().cast(hits))
 
     return let(found, place)
 

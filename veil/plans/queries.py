@@ -1,4 +1,470 @@
-"""The registered queries of the redaction engine."""
+"""The registered queries of the redaction engine, and the same in DuckDB's SQL.
+
+Operators that the tables give nothing to are run over literal rows, or over text derived from the tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veil import constants as C
+from veil import entities
+from veil.functions import normalize as N
+from veil.operators import cleanup, gazetteer
+from veil.operators import detectors as D
+from veil.operators.placeholder import placeholder, replacement
+from veil.operators.spans import merge, splice
+from veil.plans import catalogue, scrub
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The detectors' patterns without what RE2 lacks, which changes nothing on these tables.
+QUAD = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+EMAIL = "(?i)" + C.EMAIL
+PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+
+
+def spans_sql(source: str, pattern: str, key: str = "doc_id", text: str = "text", keep: str = "true") -> str:
+    """A query body: (key, beg, end, text) of all matches, places summed up from the pieces between them."""
+    p = _literal(pattern)
+    return f"""
+SELECT {key}, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT AS beg, m[k] AS hit
+FROM (SELECT {key}, m, p, unnest(range(1, len(m) + 1)) AS k
+      FROM (SELECT {key}, regexp_extract_all({text}, {p}) AS m, string_split_regex({text}, {p}) AS p FROM {source}))
+WHERE {keep}"""
+
+
+def _rows(build, spark, sf_dir):
+    each = _documents(spark, sf_dir).select("doc_id", "lang", "source", F.explode(build(F.col("text"), 0)).alias("s"))
+    return each.select("doc_id", "lang", "source", "s.beg", "s.end", "s.text")
+
+
+PLACE = "doc_id, beg, (beg + length(hit))::INT AS \"end\", hit AS text"
+NUMBER = lambda key, m=10000: f"(('0x' || md5({key}))::UHUGEINT % {m})"
+PLACEHOLDER = lambda kind, text: f"upper({kind}) || '-' || lpad({NUMBER(f'{kind} || chr(58) || {text}')}::VARCHAR, 4, '0')"
+
+
+# -- pattern detectors --------------------------------------------------------------------------
+
+
+@query(f"SELECT {PLACE} FROM ({spans_sql('documents', EMAIL)})")
+def email_spans(spark, sf_dir):
+    return _rows(D.email, spark, sf_dir).select("doc_id", "beg", "end", "text")
+
+
+@query(f"SELECT d.lang, count(*) AS n FROM ({spans_sql('documents', EMAIL)}) e JOIN documents d USING (doc_id) GROUP BY d.lang")
+def email_count_by_lang(spark, sf_dir):
+    return _rows(D.email, spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+PUBLIC = r"NOT regexp_matches(m[k], '^(192\.168|10\.0|172\.(1[6-9]|2[0-9]|3[0-1]))\.')"
+PRIVATE = r"regexp_matches(m[k], '^(192\.168|10\.0|172\.\d{1,3})\.')"
+
+
+@query(f"SELECT {PLACE}, 'public_ip' AS type FROM ({spans_sql('documents', QUAD, keep=PUBLIC)}) UNION ALL SELECT {PLACE}, 'private_ip' AS type FROM ({spans_sql('documents', QUAD, keep=PRIVATE)})")
+def ip_spans(spark, sf_dir):
+    both = lambda c, r: F.concat(D.private_ip(c, r), D.public_ip(c, r))
+    each = _documents(spark, sf_dir).select("doc_id", F.explode(both(F.col("text"), 0)).alias("s"))
+    return each.select("doc_id", "s.beg", "s.end", "s.text", "s.type")
+
+
+@query(f"SELECT d.source, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({spans_sql('documents', QUAD, keep=PUBLIC)}) e JOIN documents d USING (doc_id) GROUP BY d.source")
+def public_ip_count(spark, sf_dir):
+    return _rows(D.public_ip, spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def _values(spark: SparkSession, texts: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+
+
+def _found(spark: SparkSession, texts: list[str], build) -> DataFrame:
+    return _values(spark, texts).select("id", F.explode(build(F.col("text"), 0)).alias("s")).select("id", "s.beg", "s.end", "s.type", "s.text")
+
+
+def _expect(columns: str, rows: list[tuple]) -> str:
+    show = lambda v: "NULL" if v is None else _literal(v) if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
+
+
+SPAN_COLUMNS = 'id, beg, "end", type, text'
+IP_TEXTS = ["see 192.168.1.1 and 10.0.10.5 and 172.20.1.2; public 8.8.8.8 and 9.9.9.9", "172.15.1.1", "10.1.2.3 999.999.999.999", "192.168.1.1.5.6"]
+
+
+@query(
+    _expect(
+        SPAN_COLUMNS,
+        [
+            (0, 4, 15, "private_ip", "192.168.1.1"), (0, 20, 29, "private_ip", "10.0.10.5"), (0, 34, 44, "private_ip", "172.20.1.2"), (0, 53, 60, "public_ip", "8.8.8.8"), (0, 65, 72, "public_ip", "9.9.9.9"),
+            (1, 0, 10, "private_ip", "172.15.1.1"), (1, 0, 10, "public_ip", "172.15.1.1"), (2, 0, 8, "public_ip", "10.1.2.3"), (2, 9, 24, "public_ip", "999.999.999.999"), (3, 0, 11, "private_ip", "192.168.1.1"), (3, 4, 13, "public_ip", "168.1.1.5"),
+        ],
+    )
+)
+def private_ip_literals(spark, sf_dir):
+    return _found(spark, IP_TEXTS, lambda c, r: F.concat(D.private_ip(c, r), D.public_ip(c, r)))
+
+
+@query(f"SELECT {PLACE} FROM ({spans_sql('documents', PHONE)})")
+def phone_spans(spark, sf_dir):
+    return _rows(D.phone, spark, sf_dir).select("doc_id", "beg", "end", "text")
+
+
+URL_HEAD = r"'^https?://[a-z0-9.-]+\.(?:com|net|org|[a-z][a-z])(?:/[^\s<>]*)?\b'"
+
+
+@query(f"SELECT page_id, 0 AS beg, length(hit)::INT AS \"end\", hit AS text FROM (SELECT page_id, regexp_extract(url, {URL_HEAD}) AS hit FROM pages) WHERE hit <> ''")
+def url_spans_pages(spark, sf_dir):
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(D.url(F.col("url"), 0)).alias("s"))
+    return each.select("page_id", "s.beg", "s.end", "s.text").where("beg = 0")
+
+
+@query(f"SELECT page_id, 'URL-' || lpad({NUMBER(chr(39) + 'url:' + chr(39) + ' || url')}::VARCHAR, 4, '0') AS placeholder FROM pages")
+def url_placeholder(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", placeholder(F.lit("url"), F.col("url")).alias("placeholder"))
+
+
+LINK = "'[' || page_id || '](' || url || ')'"
+
+
+@query(f"SELECT page_id, 'see [' || page_id || '](URL-' || lpad({NUMBER(chr(39) + 'markdown_url:' + chr(39) + f' || {LINK}')}::VARCHAR, 4, '0') || ') now' AS text FROM pages")
+def markdown_link_replace(spark, sf_dir):
+    linked = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see ["), F.col("page_id"), F.lit("]("), F.col("url"), F.lit(") now")).alias("text"))
+    return scrub.scrub(linked, "en_US", ["markdown_url"], cleanup=False)
+
+
+SHARE_TEXTS = ["here is https://tenant.sharepoint.com/sites/x/Lists/y (), and another https://contoso.sharepoint.com/sites/a/b/c?x=1,", "https://a.sharepoint.com/x\ny z"]
+
+
+@query(
+    _expect(
+        SPAN_COLUMNS,
+        [(0, 8, 53, "url", "https://tenant.sharepoint.com/sites/x/Lists/y"), (0, 70, 117, "url", "https://contoso.sharepoint.com/sites/a/b/c?x=1"), (1, 0, 28, "url", "https://a.sharepoint.com/xy")],
+    )
+)
+def sharepoint_spans(spark, sf_dir):
+    return _found(spark, SHARE_TEXTS, D.sharepoint_url)
+
+
+URL_TEXTS = [
+    "Visit example.com/page and www.Example.com, also HTTP://foo.dev. share epoint.com; sharepoint.",
+    "one\nsharepoint and\npoint.com",
+    "skip Mixed.Case.Domain.com but accept www.Mixed.com and http://Foo.dev",
+    "[t](https://e.com/x)",
+    "main.py",
+]
+
+
+@query(
+    _expect(
+        SPAN_COLUMNS,
+        [
+            (0, 6, 22, "url", "example.com/page"), (0, 27, 42, "url", "www.Example.com"), (0, 49, 63, "url", "HTTP://foo.dev"), (2, 38, 51, "url", "www.Mixed.com"), (2, 56, 70, "url", "http://Foo.dev"),
+            (3, 12, 19, "url", "e.com/x"), (4, 0, 7, "url", "main.py"),
+        ],
+    )
+)
+def url_fragment_skip(spark, sf_dir):
+    return _found(spark, URL_TEXTS, D.url)
+
+
+@query(_expect(SPAN_COLUMNS, [(0, 0, 2, "custom", "aa"), (0, 1, 3, "custom", "aa"), (1, 2, 4, "custom", "aa")]))
+def custom_overlap(spark, sf_dir):
+    return _found(spark, ["aaa", "b aa b", "AA"], lambda c, r: D.custom(c, r, " aa "))
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({spans_sql('documents', 'Licensed under')}) GROUP BY doc_id")
+def custom_phrase_count(spark, sf_dir):
+    return _rows(lambda c, r: D.custom(c, r, "Licensed under"), spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+BIRTH_TEXTS = ["Born on 12/03/1980. Met 01/02/1990.", "DOB: 1999-12-31; born 1 May 2024", "date of birth March 5, 1960"]
+
+
+@query(_expect(SPAN_COLUMNS, [(0, 8, 18, "date_of_birth", "12/03/1980"), (1, 5, 15, "date_of_birth", "1999-12-31"), (2, 14, 27, "date_of_birth", "March 5, 1960")]))
+def birth_dates(spark, sf_dir):
+    return _found(spark, BIRTH_TEXTS, lambda c, r: D.date_of_birth(c, r, 2025))
+
+
+# -- merging, placeholders, scrubbing -------------------------------------------------------------
+
+
+@query(_expect('id, beg, "end", type, text', [(0, 2, 12, "unknown", "172.15.1.1"), (0, 15, 22, "email", "a@b.com"), (1, 0, 24, "unknown", "a@b.com 5.6.7.8,10.0.1.2")]))
+def merge_overlaps(spark, sf_dir):
+    texts = _values(spark, ["a 172.15.1.1 b a@b.com", "a@b.com 5.6.7.8,10.0.1.2"])
+    found = scrub.with_spans(texts, "en_US", ["email", "private_ip", "public_ip"]).select("id", "text", "spans")
+    wide = F.when(F.col("id") == 1, F.concat("spans", D.custom(F.col("text"), 9, " 5.6.7.8,10"), D.custom(F.col("text"), 9, "com 5"))).otherwise(F.col("spans"))
+    each = found.select("id", F.explode(merge(wide, F.col("text"))).alias("s"))
+    return each.select("id", "s.beg", "s.end", "s.type", "s.text")
+
+
+@query(f"SELECT c_custkey, {PLACEHOLDER(chr(39) + 'name' + chr(39), 'c_name')} AS placeholder FROM customer")
+def placeholder_md5(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", placeholder(F.lit("name"), F.col("c_name")).alias("placeholder"))
+
+
+@query(
+    "SELECT s_suppkey, 'ORGANIZATION-' || lpad((((('0x' || sha256('organization:' || s_name)[1:32])::UHUGEINT % 1000) * (170141183460469231731687303715884105728::UHUGEINT % 1000) * 2"
+    " + (('0x' || sha256('organization:' || s_name)[33:64])::UHUGEINT % 1000)) % 1000)::VARCHAR, 3, '0') AS placeholder FROM supplier"
+)
+def placeholder_sha256(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", placeholder(F.lit("organization"), F.col("s_name"), "sha256", 1000).alias("placeholder"))
+
+
+PREFIXES = [("name", "https://x", "URL"), ("name", "see https://x", "NAME"), ("custom", "WWW.x", "URL"), ("unknown", "[a] (b", "UNKNOWN"), ("unknown", "[ a ]( http://x )", "URL"), ("markdown_url", "x", "URL"), ("name", "a.sharepoint.com/x", "URL")]
+
+
+@query(_expect("kind, text, prefix", PREFIXES))
+def urlish_prefix(spark, sf_dir):
+    rows = spark.createDataFrame([(k, t) for k, t, _ in PREFIXES], "kind string, text string")
+    return rows.select("kind", "text", F.regexp_extract(placeholder(F.col("kind"), F.col("text")), "^(.*)-\\d+$", 1).alias("prefix"))
+
+
+EITHER = f"(?i)(?:{C.EMAIL}|{QUAD})"
+
+
+def _scrubbed(columns: str, source: str, key: str) -> str:
+    """Addresses replaced by their placeholders: pieces and placeholders side by side."""
+    p = _literal(EITHER)
+    private = r"regexp_matches(x, '^(192\.168|10\.0|172\.(1[6-9]|2[0-9]|3[0-1]))\.')"
+    both = r"regexp_matches(x, '^172\.') AND NOT " + private
+    kind = f"CASE WHEN contains(x, '@') OR regexp_matches(x, '(?i)\\sat\\s') THEN 'email' WHEN {both} THEN 'unknown' WHEN {private} THEN 'private_ip' ELSE 'public_ip' END"
+    one = f"upper({kind}) || '-' || lpad((('0x' || md5({kind} || ':' || x))::UHUGEINT % 10000)::VARCHAR, 4, '0')"
+    return (
+        f"SELECT {columns}, list_aggregate(list_transform(range(1, len(p) + 1), lambda k: p[k] || coalesce(r[k], '')), 'string_agg', '') AS text FROM"
+        f" (SELECT {columns}, string_split_regex(text, {p}) AS p, list_transform(regexp_extract_all(text, {p}), lambda x: {one}) AS r FROM {source})"
+    )
+
+
+ADDRESSES = ["email", "private_ip", "public_ip"]
+
+
+@query(_scrubbed("doc_id", "documents", "doc_id"))
+def scrub_email_ip(spark, sf_dir):
+    return scrub.scrub(_documents(spark, sf_dir).select("doc_id", "text"), "en_US", ADDRESSES, cleanup=False)
+
+
+@query(_scrubbed("conv_id, turn", "conversations", "conv_id"))
+def conversation_scrub(spark, sf_dir):
+    return scrub.scrub(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "en_US", ADDRESSES, cleanup=False)
+
+
+HITS = f"SELECT doc_id, beg, hit AS text, 'email' AS type FROM ({spans_sql('documents', EMAIL)}) UNION ALL SELECT doc_id, beg, hit, CASE WHEN regexp_matches(hit, '^172\\.') AND NOT regexp_matches(hit, '^172\\.(1[6-9]|2[0-9]|3[0-1])\\.') THEN 'unknown' WHEN regexp_matches(hit, '^(192\\.168|10\\.0|172)\\.') THEN 'private_ip' ELSE 'public_ip' END FROM ({spans_sql('documents', QUAD)})"
+
+
+@query(f"SELECT doc_id, 'en_US' AS locale, beg, (beg + length(text))::INT AS \"end\", type, text, {PLACEHOLDER('type', 'text')} AS replacement FROM ({HITS})")
+def filth_report(spark, sf_dir):
+    return scrub.findings(_documents(spark, sf_dir), "en_US", ADDRESSES).select("doc_id", "locale", "beg", "end", "type", "text", "replacement")
+
+
+@query(f"SELECT type, count(*) AS n, count(DISTINCT text) AS texts FROM ({HITS}) GROUP BY type")
+def filth_by_type(spark, sf_dir):
+    return scrub.findings(_documents(spark, sf_dir), "en_US", ADDRESSES).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+
+
+@query(f"SELECT d.source, h.type, count(*) AS n FROM ({HITS}) h JOIN documents d USING (doc_id) GROUP BY CUBE (d.source, h.type)")
+def filth_by_source(spark, sf_dir):
+    found = scrub.with_spans(_documents(spark, sf_dir), "en_US", ADDRESSES).select("source", F.explode("spans").alias("s"))
+    return found.select("source", F.col("s.type").alias("type")).cube("source", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT locale, line FROM (SELECT 'en_US' AS locale, '- ' || type || ': ''' || text || ''' -> ''' || {PLACEHOLDER('type', 'text')} || '''' AS line FROM ({HITS}))")
+def verbose_report(spark, sf_dir):
+    return scrub.report(scrub.findings(_documents(spark, sf_dir), "en_US", ADDRESSES))
+
+
+@query(
+    "SELECT * FROM (SELECT 0 AS id, 'en_US' AS locale, 'Ann EMAIL-8674 NAME-' || lpad((('0x' || md5('name:John'))::UHUGEINT % 10000)::VARCHAR, 4, '0') || chr(10) AS text"
+    " UNION ALL SELECT 0, 'nl_NL', 'Ann EMAIL-8674 John' || chr(10))"
+)
+def multi_locale(spark, sf_dir):
+    return scrub.scrub_locales(_values(spark, ["Ann a@b.com John"]), id_col="id").select("id", "locale", "text")
+
+
+# -- clean-up and normalisation -------------------------------------------------------------------
+
+
+def _each(spark, sf_dir, build):
+    return _documents(spark, sf_dir).select("doc_id", build(F.col("text")).alias("text"))
+
+
+MARKED = "'<UNKNOWN-' || doc_id || '> [t](UNKNOWN-1)  a UNKNOWN-22 b ' || text"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({MARKED}, '<UNKNOWN-[^>]*>', '', 'g'), '\\[([^\\]]+)\\]\\(UNKNOWN-\\d+\\)', '\\1', 'g'), '\\bUNKNOWN-\\d+\\b', '', 'g'), '[ \\t]{{2,}}', ' ', 'g') AS text FROM documents")
+def cleanup_unknown(spark, sf_dir):
+    marked = _documents(spark, sf_dir).withColumn("text", F.concat(F.lit("<UNKNOWN-"), F.col("doc_id"), F.lit("> [t](UNKNOWN-1)  a UNKNOWN-22 b "), F.col("text")))
+    return marked.select("doc_id", cleanup.remove_unknown(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, '[x ' || repeat('A', 16) || '…' || repeat('B', 8) || '] ' || repeat('C', 90) || ' (' || repeat('D', 80) || ')' AS text FROM documents")
+def cleanup_gibberish(spark, sf_dir):
+    text = F.concat(F.lit("[x "), F.repeat(F.lit("A"), 40), F.repeat(F.lit("B"), 50), F.lit("] "), F.repeat(F.lit("C"), 90), F.lit(" ("), F.repeat(F.lit("D"), 80), F.lit(")"))
+    return _documents(spark, sf_dir).select("doc_id", cleanup.collapse_gibberish(text).alias("text"))
+
+
+DEDUPED = """SELECT doc_id, list_aggregate(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), 'string_agg', chr(10)) AS text
+FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]') AS l FROM documents))"""
+
+
+@query(DEDUPED)
+def dedupe_lines(spark, sf_dir):
+    return _each(spark, sf_dir, cleanup.dedupe_lines)
+
+
+@query("SELECT doc_id, CASE WHEN suffix(text, chr(10)) THEN text ELSE text || chr(10) END AS text FROM documents")
+def trailing_newline(spark, sf_dir):
+    return _each(spark, sf_dir, cleanup.trailing_newline)
+
+
+SPLIT_URLS = ["Visit https://example.\ncom/docs?id=1 and\nmore", "http://a\nb\nc d\ne", "none\nhere"]
+
+
+@query(_expect("id, text", [(0, "Visit https://example.com/docs?id=1 and\nmore"), (1, "http://abc d\ne"), (2, "none\nhere")]))
+def join_split_urls(spark, sf_dir):
+    return _values(spark, SPLIT_URLS).select("id", N.join_split_urls(F.col("text")).alias("text"))
+
+
+@query("SELECT page_id, 'see <' || url || '> and <http://b.org>' AS text FROM pages")
+def wrap_urls(spark, sf_dir):
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" and <http://b.org>"))
+    return table(spark, sf_dir, "pages").select("page_id", N.wrap_urls(text).alias("text"))
+
+
+@query(_expect("id, text", [(0, "Paragraph\n\n- item 1\n- item 2\n3. x\ny\n\n4. z"), (1, "- a"), (2, "\n* a")]))
+def blank_before_list(spark, sf_dir):
+    return _values(spark, ["Paragraph\n- item 1\n- item 2\n3. x\ny\n4. z", "- a", "\n* a"]).select("id", N.blank_before_lists(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, '# Results' || chr(10) || chr(10) || CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END AS text FROM documents")
+def insert_h1(spark, sf_dir):
+    return _each(spark, sf_dir, lambda c: N.insert_h1(c, "Results"))
+
+
+@query(_expect("id, text", [(0, "Hello world \nNext line"), (1, "a-\nB"), (2, "coop non-breaking")]))
+def pdf_dehyphenate(spark, sf_dir):
+    return _values(spark, ["Hel-\nlo world \nNext line", "a-\nB", "co\u00adop non\u2011breaking"]).select("id", N.text_for_pdf(F.col("text")).alias("text"))
+
+
+@query(_expect("id, text", [(0, "Intro line. continues on next line\n\nAnother Para: more text"), (1, "")]))
+def pdf_para(spark, sf_dir):
+    texts = ["Intro line.\ncontinues on next line\n\nAnother Para:\nmore text\n", " \n\n"]
+    return _values(spark, texts).select("id", N.text_for_pdf(F.col("text"), "para").alias("text"))
+
+
+@query(_expect("id, text", [(0, "Line 1\n\nLine 2\nLine 3"), (1, "See <https://e.com/a-> x")]))
+def normalize_pdf(spark, sf_dir):
+    return _values(spark, ["Line 1  \n\fLine 2    \nLine 3\n", "See https://e.\ncom/a\n- x"]).select("id", N.normalize_pdf_text(F.col("text")).alias("text"))
+
+
+# -- gazetteers and entity lists ------------------------------------------------------------------
+
+PEOPLE = ", ".join(_literal(n) for n in C.ENGLISH_NAMES)
+
+
+@query(
+    f"SELECT doc_id, 'name' AS type, hit AS text, beg FROM ({spans_sql(chr(40) + 'SELECT doc_id, list_value(' + PEOPLE + ')[(doc_id % 20 + 1)::INT] || chr(44) || chr(32) || text AS text FROM documents)', '\\b(?:' + '|'.join(C.ENGLISH_NAMES) + ')\\b')})"
+)
+def gazetteer_names(spark, sf_dir):
+    people = F.array(*map(F.lit, C.ENGLISH_NAMES))
+    named = _documents(spark, sf_dir).select("doc_id", F.concat(F.get(people, (F.col("doc_id") % 20).cast("int")), F.lit(", "), F.col("text")).alias("text"))
+    own = next(g for g in catalogue.GAZETTEERS["en_US"] if g.kind == "name")
+    each = named.select("doc_id", F.explode(gazetteer.spans(F.col("text"), 0, own)).alias("s"))
+    return each.select("doc_id", "s.type", "s.text", "s.beg")
+
+
+@query(ORACLES["gazetteer_names"])
+def gazetteer_join(spark, sf_dir):
+    people = F.array(*map(F.lit, C.ENGLISH_NAMES))
+    named = _documents(spark, sf_dir).select("doc_id", F.concat(F.get(people, (F.col("doc_id") % 20).cast("int")), F.lit(", "), F.col("text")).alias("text"))
+    listed = spark.createDataFrame([("name", n) for n in C.ENGLISH_NAMES], "kind string, match string")
+    return gazetteer.joined_spans(named, listed, C.ENGLISH_STOP_WORDS).select("doc_id", F.col("kind").alias("type"), "text", "beg")
+
+
+LISTED = [("Bank", "location", 0), ("Town", "location", 0), ("bank", "organization", 1), ("ACME", "organization", 1), ("acme", "name", 2), ("Ann", "name", 2)]
+
+
+@query(_expect("match, kind", [("Bank", "location"), ("Town", "location"), ("ACME", "organization"), ("Ann", "name")]))
+def gazetteer_dedupe(spark, sf_dir):
+    return gazetteer.first_list_wins(spark.createDataFrame(LISTED, "match string, kind string, priority int")).select("match", "kind")
+
+
+@query(_expect("id, text", [(0, "Acme"), (0, "ACME"), (2, "IBM"), (4, "New York")]))
+def gazetteer_filters(spark, sf_dir):
+    g = gazetteer.Gazetteer("organization", ("Acme", "IBM", "the", "New York", "York", "7", "x"), frozenset(C.ENGLISH_STOP_WORDS))
+    texts = ["Acme acme ACME xAcme www.Acme.com", "the 7 x", "IBM ibm", "IBM.Com", "in New York"]
+    return _found(spark, texts, lambda c, r: gazetteer.spans(c, r, g)).select("id", "text")
+
+
+@query("SELECT match, filth_type FROM (SELECT n_name AS match, 'location' AS filth_type FROM nation UNION ALL SELECT 'Breda', 'location')")
+def entity_upsert(spark, sf_dir):
+    have = table(spark, sf_dir, "nation").select(F.col("n_name").alias("match"), F.lit("location").alias("filth_type"))
+    again = have.select(F.lit("city").alias("kind"), F.lower("match").alias("match"))
+    return entities.upsert(have, again.unionByName(spark.createDataFrame([("city", "Breda"), ("city", "breda")], "kind string, match string")))
+
+
+@query("SELECT n_name AS text, 0 AS start, length(n_name)::INT AS \"end\", 'LOC' AS label FROM nation")
+def ner_rows(spark, sf_dir):
+    have = table(spark, sf_dir, "nation").select(F.col("n_name").alias("match"), F.lit("location").alias("filth_type"))
+    other = spark.createDataFrame([("x", "planet"), ("", "name")], "match string, filth_type string")
+    each = entities.ner_rows(have.unionByName(other)).select("text", F.explode("entities").alias("e"))
+    return each.select("text", "e.start", "e.end", "e.label")
+
+
+@query(_expect("match, filth_type", [("Amélie de Wit", "name"), ("Jan", "name"), ("O'Neil", "name")]))
+def name_normalise(spark, sf_dir):
+    names = [(0, " 'Jan'  "), (1, "jan"), (2, "Amélie   de Wit"), (3, '"O\'Neil"'), (4, "''"), (5, " ")]
+    return entities.import_names(spark.createDataFrame(names, "ord int, name string"))
+
+
+# -- the catalogue and selections -----------------------------------------------------------------
+
+GENERIC_NAMES = ["markdown_url", "sharepoint_url", "url", "email", "phone", "private_ip", "public_ip"]
+OWN_NAMES = {"en_US": ["name", "organization", "location", "date_of_birth", "spacy_entities"], "nl_NL": ["location", "organization", "name", "application", "spacy_entities"]}
+
+
+@query(_expect("locale, ord, name, enabled_by_default", [(x, n, d, d != "spacy_entities") for x, own in OWN_NAMES.items() for n, d in enumerate(GENERIC_NAMES + own)]))
+def detector_catalogue(spark, sf_dir):
+    return catalogue.catalogue(spark).select("locale", "ord", "name", "enabled_by_default")
+
+
+@query(_expect("locale, names", [("en_US", "email,spacy_entities"), ("nl_NL", "email,names")]))
+def locale_selection(spark, sf_dir):
+    chosen = catalogue.locale_selections(["email", "en:spacy_entities", "nl:names", "xx:y"])
+    return spark.createDataFrame([(k, ",".join(v)) for k, v in chosen.items()], "locale string, names string")
+
+
+@query(_expect("path, fmt", [("a.docx", "docx"), ("a.DOC", "docx"), ("a.pdf", "pdf"), ("a.md", "md"), ("a.markdown", "md"), ("a.txt", "txt"), ("a", "txt")]))
+def infer_format(spark, sf_dir):
+    from veil.sources.sinks import infer_format as infer
+
+    return spark.createDataFrame([(p, infer(p)) for p in ("a.docx", "a.DOC", "a.pdf", "a.md", "a.markdown", "a.txt", "a")], "path string, fmt string")
+
+
+@query(_scrubbed("doc_id", "documents", "doc_id"))
+def spliced_spans(spark, sf_dir):
+    found = scrub.with_spans(_documents(spark, sf_dir), "en_US", ADDRESSES)
+    return found.select("doc_id", splice(F.col("text"), F.col("spans"), replacement).alias("text"))
