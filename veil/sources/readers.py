@@ -166,9 +166,19 @@ def texts_of_files(files: DataFrame, pdf_backend: str = "pymupdf4llm", strict: b
     return simple.unionByName(other.select("path", text.alias("text"), F.col("r.error").alias("error")))
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files without a byte under a path or glob, which Spark's file sources pass over."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x for s in fs.globStatus(at) or [] for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return [str(x.getPath().toString()) for x in found if x.isFile() and not x.getLen() and x.getPath().getName()[0] not in "._"]
+
+
 def read_files(spark: SparkSession, path: str, pdf_backend: str = "pymupdf4llm", strict: bool = True) -> DataFrame:
-    """(path, text, error) of all files under a path or glob."""
-    return texts_of_files(spark.read.format("binaryFile").load(path).select("path", "content"), pdf_backend, strict)
+    """(path, text, error) of all files under a path or glob; an empty file of plain text has an empty text."""
+    files = texts_of_files(spark.read.format("binaryFile").load(path).select("path", "content"), pdf_backend, strict)
+    plain = [(p, "", None) for p in _empty_files(spark, path) if not p.lower().endswith((*WORD, *RTF, *PDF, *IMAGE))]
+    return files.unionByName(spark.createDataFrame(plain, files.schema)) if plain else files
 
 
 def resolve_input(spark: SparkSession, text: str | None = None, input_path: str | None = None, append: bool = False, output_path: str | None = None, pdf_backend: str = "pymupdf4llm") -> DataFrame:
