@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import partitions
+from veil.llm.common import cut, partitions
 
 LENGTH = 200
 #: Texts are hashed in pieces of so many bytes.
@@ -308,14 +308,18 @@ def _contexts(length: int):
 
 
 def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, s, e): byte spans of the texts, overlapping and in any order, that are covered by repeated strings."""
+    """(id, s, e): byte spans of the texts, overlapping and in any order, that are covered by repeated strings.
+
+    Runs are hashed twice, to find the anchors that repeat and to fetch their runs.  What is aggregated is checkpointed, so a join with
+    it shuffles both sides and AQE can split a frequent anchor's runs.
+    """
     found = _runs(docs, length)
-    anchors = found.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
-    shared = found.join(anchors, "h")
+    anchors = cut(found.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed")))
+    shared = cut(found.join(anchors, "h"))
     span = lambda place: ((F.shiftright(place, 16)).alias("s"), (F.shiftright(place, 16) + F.shiftright(place, 8).bitwiseAND(F.lit(255)) + length).alias("e"))
     alike = shared.where("not mixed").select("id", *span(F.col("place")))
     mixed = shared.where("mixed").select("h", "k", "id", "place")
-    members = mixed.groupBy("h", "k").agg(F.count("*").alias("m"), F.min(F.struct("id", "place")).alias("one"))
+    members = cut(mixed.groupBy("h", "k").agg(F.count("*").alias("m"), F.min(F.struct("id", "place")).alias("one")))
     several = mixed.join(members.where("m > 1").select("h", "k"), ["h", "k"]).select("id", *span(F.col("place")))
     todo = members.select(F.col("one.id").alias("_id"), F.struct("h", F.least("m", F.lit(2)).cast("int").alias("m"), F.col("one.place").alias("place")).alias("x")).groupBy("_id").agg(F.collect_list("x").alias("todo"))
     texts = dealt.join(todo.hint("shuffle_hash"), dealt["id"] == todo["_id"]).select("id", "raw", "todo")
@@ -365,3 +369,19 @@ def merged(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((s, e))
     return out
+
+
+#: The same in SQL for windows of 200 bytes, in hexadecimal digits, two a byte.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+m AS (SELECT doc_id, p, sum(CASE WHEN p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r)),
+s AS (SELECT doc_id, min(p) AS s, max(p) + 200 AS e FROM m GROUP BY doc_id, run),
+g AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS from_ FROM s),
+k AS (SELECT g.doc_id, count(*) AS spans, sum(e - s)::BIGINT AS gone, max(e) AS last, string_agg(substr(h, 2 * from_ + 1, 2 * (s - from_)), '' ORDER BY s) AS kept FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(k.gone, 0) AS n_removed, coalesce(k.spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.kept || substr(h, 2 * k.last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
