@@ -53,17 +53,17 @@ def insert_h1(text: Column, title: str | Column | None) -> Column:
         return text
     title = F.lit(title) if isinstance(title, str) else title
 
-    def headed(lines: Column) -> Column:
+    def headed(text: Column, lines: Column) -> Column:
         first = F.get(F.filter(lines, lambda x: strip(x) != ""), F.lit(0))
         has = F.coalesce(lstrip(first).startswith("# "), F.lit(False))
         return F.when(has, text).otherwise(join(F.concat(F.array(F.concat(F.lit("# "), title), F.lit("")), lines)))
 
-    return let(splitlines(text), headed)
+    return let(text, lambda t: let(splitlines(t), lambda lines: headed(t, lines)))
 
 
 def normalize_pdf_text(text: Column, title: str | Column | None = None) -> Column:
-    out = wrap_urls(join_split_urls(trim_lines(page_breaks(text))))
-    return F.when(text == "", text).otherwise(insert_h1(blank_before_lists(out), title))
+    whole = lambda t: insert_h1(blank_before_lists(wrap_urls(let(trim_lines(page_breaks(t)), join_split_urls))), title)
+    return let(text, lambda t: F.when(t == "", t).otherwise(whole(t)))
 
 
 def dehyphenate(text: Column) -> Column:

@@ -37,9 +37,9 @@ def dedupe_lines(text: Column) -> Column:
 
 
 def trailing_newline(text: Column) -> Column:
-    return F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+    return let(text, lambda t: F.when(t.endswith("\n"), t).otherwise(F.concat(t, F.lit("\n"))))
 
 
 def cleanup(text: Column) -> Column:
     """All of the above in this order; an empty text stays empty."""
-    return F.when(text == "", text).otherwise(trailing_newline(dedupe_lines(collapse_gibberish(remove_unknown(text)))))
+    return let(text, lambda t: F.when(t == "", t).otherwise(trailing_newline(dedupe_lines(collapse_gibberish(remove_unknown(t))))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.text import let
@@ -104,3 +104,12 @@ def longest_first(spans: Column) -> Column:
     free = lambda done, s: ~F.exists(done, lambda d: (s["end"] > d["beg"]) & (s["beg"] < d["end"]))
     chosen = F.aggregate(F.array_sort(spans, order), no_spans(), lambda done, s: F.when(free(done, s), F.concat(done, F.array(s))).otherwise(done))
     return F.array_sort(chosen, lambda a, b: a["beg"] - b["beg"])
+
+
+def explode_spans(df: DataFrame, spans: Column | str, *keep: str | Column) -> DataFrame:
+    """The kept columns and s for every span.
+
+    The outer form, since for the plain one the optimizer adds a filter on the size of spans and pushes it below their own
+    definition, where all detectors would run a second time.
+    """
+    return df.select(*keep, F.explode_outer(spans).alias("s")).where("s is not null")

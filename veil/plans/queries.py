@@ -14,7 +14,7 @@ from veil.functions import normalize as N
 from veil.operators import cleanup, gazetteer
 from veil.operators import detectors as D
 from veil.operators.placeholder import placeholder, replacement
-from veil.operators.spans import merge, splice
+from veil.operators.spans import explode_spans, merge, splice
 from veil.plans import catalogue, scrub
 
 QUERIES: dict = {}
@@ -60,7 +60,7 @@ WHERE {keep}"""
 
 
 def _rows(build, spark, sf_dir):
-    each = _documents(spark, sf_dir).select("doc_id", "lang", "source", F.explode(build(F.col("text"), 0)).alias("s"))
+    each = explode_spans(_documents(spark, sf_dir), build(F.col("text"), 0), "doc_id", "lang", "source")
     return each.select("doc_id", "lang", "source", "s.beg", "s.end", "s.text")
 
 
@@ -89,7 +89,7 @@ PRIVATE = r"regexp_matches(m[k], '^(192\.168|10\.0|172\.\d{1,3})\.')"
 @query(f"SELECT {PLACE}, 'public_ip' AS type FROM ({spans_sql('documents', QUAD, keep=PUBLIC)}) UNION ALL SELECT {PLACE}, 'private_ip' AS type FROM ({spans_sql('documents', QUAD, keep=PRIVATE)})")
 def ip_spans(spark, sf_dir):
     both = lambda c, r: F.concat(D.private_ip(c, r), D.public_ip(c, r))
-    each = _documents(spark, sf_dir).select("doc_id", F.explode(both(F.col("text"), 0)).alias("s"))
+    each = explode_spans(_documents(spark, sf_dir), both(F.col("text"), 0), "doc_id")
     return each.select("doc_id", "s.beg", "s.end", "s.text", "s.type")
 
 
@@ -103,7 +103,7 @@ def _values(spark: SparkSession, texts: list[str]) -> DataFrame:
 
 
 def _found(spark: SparkSession, texts: list[str], build) -> DataFrame:
-    return _values(spark, texts).select("id", F.explode(build(F.col("text"), 0)).alias("s")).select("id", "s.beg", "s.end", "s.type", "s.text")
+    return explode_spans(_values(spark, texts), build(F.col("text"), 0), "id").select("id", "s.beg", "s.end", "s.type", "s.text")
 
 
 def _expect(columns: str, rows: list[tuple]) -> str:
@@ -138,7 +138,7 @@ URL_HEAD = r"'^https?://[a-z0-9.-]+\.(?:com|net|org|[a-z][a-z])(?:/[^\s<>]*)?\b'
 
 @query(f"SELECT page_id, 0 AS beg, length(hit)::INT AS \"end\", hit AS text FROM (SELECT page_id, regexp_extract(url, {URL_HEAD}) AS hit FROM pages) WHERE hit <> ''")
 def url_spans_pages(spark, sf_dir):
-    each = table(spark, sf_dir, "pages").select("page_id", F.explode(D.url(F.col("url"), 0)).alias("s"))
+    each = explode_spans(table(spark, sf_dir, "pages"), D.url(F.col("url"), 0), "page_id")
     return each.select("page_id", "s.beg", "s.end", "s.text").where("beg = 0")
 
 
@@ -217,7 +217,7 @@ def merge_overlaps(spark, sf_dir):
     texts = _values(spark, ["a 172.15.1.1 b a@b.com", "a@b.com 5.6.7.8,10.0.1.2"])
     found = scrub.with_spans(texts, "en_US", ["email", "private_ip", "public_ip"]).select("id", "text", "spans")
     wide = F.when(F.col("id") == 1, F.concat("spans", D.custom(F.col("text"), 9, " 5.6.7.8,10"), D.custom(F.col("text"), 9, "com 5"))).otherwise(F.col("spans"))
-    each = found.select("id", F.explode(merge(wide, F.col("text"))).alias("s"))
+    each = explode_spans(found, merge(wide, F.col("text")), "id")
     return each.select("id", "s.beg", "s.end", "s.type", "s.text")
 
 
@@ -287,8 +287,8 @@ def filth_by_type(spark, sf_dir):
 
 @query(f"SELECT d.source, h.type, count(*) AS n FROM ({HITS}) h JOIN documents d USING (doc_id) GROUP BY CUBE (d.source, h.type)")
 def filth_by_source(spark, sf_dir):
-    found = scrub.with_spans(_documents(spark, sf_dir), "en_US", ADDRESSES).select("source", F.explode("spans").alias("s"))
-    return found.select("source", F.col("s.type").alias("type")).cube("source", "type").agg(F.count("*").alias("n"))
+    found = scrub.with_spans(_documents(spark, sf_dir), "en_US", ADDRESSES)
+    return explode_spans(found, "spans", "source").select("source", F.col("s.type").alias("type")).cube("source", "type").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT locale, line FROM (SELECT 'en_US' AS locale, '- ' || type || ': ''' || text || ''' -> ''' || {PLACEHOLDER('type', 'text')} || '''' AS line FROM ({HITS}))")
@@ -392,7 +392,7 @@ def gazetteer_names(spark, sf_dir):
     people = F.array(*map(F.lit, C.ENGLISH_NAMES))
     named = _documents(spark, sf_dir).select("doc_id", F.concat(F.get(people, (F.col("doc_id") % 20).cast("int")), F.lit(", "), F.col("text")).alias("text"))
     own = next(g for g in catalogue.GAZETTEERS["en_US"] if g.kind == "name")
-    each = named.select("doc_id", F.explode(gazetteer.spans(F.col("text"), 0, own)).alias("s"))
+    each = explode_spans(named, gazetteer.spans(F.col("text"), 0, own), "doc_id")
     return each.select("doc_id", "s.type", "s.text", "s.beg")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veil.operators import placeholder
 from veil.operators.cleanup import cleanup as clean_up
-from veil.operators.spans import SPANS, merge, no_spans, splice
+from veil.operators.spans import SPANS, explode_spans, merge, no_spans, splice
 from veil.plans import catalogue
 
 log = logging.getLogger(__name__)
@@ -79,7 +79,7 @@ def scrub_default(df: DataFrame, locale: str | None = None, detectors: list[str]
 def findings(df: DataFrame, locale: str | None = None, detectors: dict[str, list[str]] | list[str] | None = None, custom_text: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, locale, beg, end, type, text, detector, replacement) of every merged span, always with the default placeholders."""
     rows = scrub_locales(df, locale, detectors, custom_text, False, id_col, text_col, include_spans=True)
-    each = rows.select(F.col(id_col), "locale", F.explode("spans").alias("s"))
+    each = explode_spans(rows, "spans", id_col, "locale")
     return each.select(id_col, "locale", "s.beg", "s.end", "s.type", "s.text", "s.detector", placeholder.replacement(F.col("s")).alias("replacement"))
 
 

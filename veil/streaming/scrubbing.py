@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from veil.plans.scrub import findings, scrub
+from veil.operators.spans import explode_spans
+from veil.plans.scrub import findings, scrub, with_spans
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | str, files_at_once: int = 100) -> DataFrame:
@@ -21,10 +22,8 @@ def scrub_to(stream: DataFrame, out: str, checkpoint: str, locale: str = "en_US"
 
 def counts_by_window(stream: DataFrame, time_col: str, id_col: str = "doc_id", text_col: str = "text", locale: str = "en_US", detectors: list[str] | None = None, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """(window, type, n): how much of each type arrived in each window of event time; state is dropped once the watermark has passed."""
-    from veil.plans.scrub import with_spans
-
     timed = with_spans(stream.withWatermark(time_col, late), locale, detectors, text_col=text_col)
-    each = timed.select(time_col, F.explode("spans").alias("s"))
+    each = explode_spans(timed, "spans", time_col)
     return each.groupBy(F.window(time_col, window).alias("window"), F.col("s.type").alias("type")).agg(F.count("*").alias("n"))
 
 
