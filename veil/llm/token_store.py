@@ -30,7 +30,7 @@ from veil.llm.common import partitions, shared_path
 MAGIC, HEAD = b"VHF1", struct.Struct("<4s6I")
 #: Longest code; ids in a block; ids after which a chunk is closed.
 LIMIT, BLOCK, CHUNK = 18, 512, 1 << 20
-MEMO, MEMO_CHARS = 300_000, 48
+MEMO, MEMO_CHARS = 900_000, 48
 
 
 # -- the code ---------------------------------------------------------------------------------
@@ -177,8 +177,8 @@ class WordEncoder(dict):
         if not word:
             got = b""
         elif m := _PLAIN(word):
-            parts = [self._model(m[1])] + ([self._model(m[2])] if m[2] else [])
-            got = b"".join(parts)
+            stem = m[1].lower()
+            got = self._model(stem) if stem == word else self[stem] + (self[m[2]] if m[2] else b"")
         else:
             got = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
         if len(word) <= MEMO_CHARS:
@@ -188,7 +188,7 @@ class WordEncoder(dict):
         return got
 
     def _model(self, piece: str) -> bytes:
-        letters = "".join(map(self.alphabet.__getitem__, piece.lower().encode()))
+        letters = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
         return np.array([t.id for t in self.library.model.tokenize(letters)], self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
