@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.llm.common import cut
+
 #: Lines of the shortest run that is found for certain.
 WINDOW = 2
 
@@ -27,7 +29,8 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, text_hash, runs): the maximal runs [first, end) of lines that repeat earlier ones, in order.
 
     Earlier is by (id, hash of the text, line).  A window that holds a blank line is none, so blank
-    lines end runs and stay.  Contents are compared by two 64-bit hashes of all their lines.
+    lines end runs and stay.  Contents are compared by two 64-bit hashes of all their lines.  Both aggregates
+    are checkpointed, so the joins with them shuffle both sides and AQE can split a hot line's or window's rows.
     """
     at = lambda a, i: F.get(F.col(a), i)
     span = lambda a, p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda j: at(a, (p + j).cast("int")))
@@ -39,14 +42,14 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = hashed.select("id", "th", F.explode(windows).alias("w")).select("id", "th", F.col("w.f.h").alias("f"), F.col("w.f.j").alias("j"), F.col("w.p").alias("p"), F.col("w.g").alias("g"), F.col("w.g2").alias("g2"))
     marks = F.transform(starts, least)
     chosen = hashed.select(F.explode(F.array_distinct(marks)).alias("m")).select(F.col("m.h").alias("f"))
-    repeated = chosen.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+    repeated = cut(chosen.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
     candidates = placed.join(repeated, "f").select("id", "th", "p", "g", "g2")
     where = F.struct("id", "th", "p")
-    first = candidates.groupBy("g", "g2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "g2", "first")
+    first = cut(candidates.groupBy("g", "g2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "g2", "first"))
     later = candidates.join(first, ["g", "g2"]).where(~where.eqNullSafe(F.col("first"))).select("id", "th", "p").distinct()
     order = Window.partitionBy("id", "th").orderBy("p")
-    cut = (F.col("p") > F.lag("p").over(order) + window).cast("int")
-    islands = later.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("run", F.sum("cut").over(order))
+    gap = (F.col("p") > F.lag("p").over(order) + window).cast("int")
+    islands = later.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(order))
     runs = islands.groupBy("id", "th", "run").agg(F.min("p").alias("first"), (F.max("p") + window).alias("end"))
     return runs.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("runs"))
 
