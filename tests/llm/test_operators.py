@@ -260,6 +260,40 @@ def test_one_of_each_group(spark, awkward, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def jaccard_groups(rows, k=5, threshold=0.8):
+    """The smallest id of each row's group, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append(set(zip(*(w[j:] for j in range(k)), strict=False)))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("cell", [4096, 100])
+def test_large_group_of_near_duplicates(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        w = list(base)
+        for at in rng.sample(range(len(w)), 3):
+            w[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    want = {i for i, g in jaccard_groups(rows).items() if i == g}
+    assert {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()} == want
+
+
 # -- search -------------------------------------------------------------------------------------
 
 

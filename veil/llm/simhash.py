@@ -250,6 +250,8 @@ def near_duplicates(df: DataFrame, k: int = 3, radius: int = 2, id_col: str = "d
 BANDS, ROWS = 16, 4
 #: At a similarity of 0.8, fingerprints of 128 bits differ in 19.4 bits on average with a deviation of 4.1: four deviations on.
 WIDE_RADIUS = 36
+#: Words of a family that are compared in one group of cells, so that their shingle sets fit in memory.
+FAMILY_WORDS = 1 << 21
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -270,14 +272,50 @@ def shingle_set(words: list[bytes], k: int) -> bytes:
     return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingle_list(words, k))), np.uint64)).tobytes()
 
 
+def exact_links(node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Links (a, b) of one cell between sets with a Jaccard similarity of threshold or more: a spanning forest of all of them.
+
+    side as in bucket_links.  Every pair is counted exactly unless confirmed links already join its ends, so a pair that is
+    refuted never stands in the way of another.  One set at a time is marked in the cell's vocabulary and counted in many others at once.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.r_[0, np.cumsum(sizes)]
+    mark = np.zeros(len(vocabulary), bool)
+    part = np.arange(len(sets))
+    right = np.flatnonzero(side == 1)
+    a, b = [], []
+    for i in np.flatnonzero((side != 1) & (sizes > 0)).tolist():
+        todo = np.arange(i + 1, len(sets)) if side[i] == 2 else right
+        todo = todo[(part[todo] != part[i]) & (np.minimum(sizes[todo], sizes[i]) >= threshold * np.maximum(sizes[todo], sizes[i]))]
+        mark[at[start[i] : start[i + 1]]] = True
+        step = 64
+        while len(todo):
+            now, todo = todo[:step], todo[step:]
+            n = sizes[now]
+            first = np.r_[0, np.cumsum(n)[:-1]]
+            both = np.add.reduceat(mark[at[np.arange(n.sum()) + np.repeat(start[now] - first, n)]], first, dtype=np.int64)
+            for j in now[both >= threshold * (sizes[i] + n - both)].tolist():
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+            todo = todo[part[todo] != part[i]]
+            step = min(2 * step, CELL)
+        mark[at[start[i] : start[i + 1]]] = False
+    return a, b
+
+
 def similar_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): the documents of groups of two or more near duplicates; component is the group's smallest id.
 
     Near duplicates have a Jaccard similarity of threshold or more of their k-word shingles (A-Z lower-cased,
     words at ASCII white space).  A fingerprint of 64 bits within 2 would miss most of those, and blocks of its bits cannot find pairs that far apart,
-    so here buckets are bands of least shingle hashes, which SimHashes of 128 bits are compared in (bit-sliced, nearest links first), and
-    the links that join parts are confirmed by their exact shingle sets.  Texts of equal words are one class; texts without words
-    are one too.  Rows that share an id are one document; rows with a null id are in no group.
+    so here buckets are bands of least shingle hashes, which SimHashes of 128 bits are compared in (bit-sliced).  Many pairs within
+    that radius are less similar than threshold, so what these links join is only a family: inside each family all pairs are held against
+    their exact shingle sets, and only confirmed links make groups.  A family over CELL members or FAMILY_WORDS words is cut into a grid of
+    cells like a hot bucket.  Texts of equal words are one class; texts without words are one too.  Rows that share an id are one
+    document; rows with a null id are in no group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,33 +325,49 @@ def similar_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
                 words = [words_of(t.as_py()) for t in part.column(1)]
                 found = [sketch(w, k) for w in words]
                 same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), ">i8").astype("i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array([f for f, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["id", "c1", "c2", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array([f for f, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int64())), pa.array([len(w) for w in words], pa.int64())], ["id", "c1", "c2", "fp", "keys", "n"])
 
     given = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    rows = cut(given.mapInArrow(run, "id long, c1 long, c2 long, fp binary, keys array<long>"))
-    classes = rows.groupBy("c1", "c2").agg(F.min("id").alias("node"), F.min_by(F.struct("fp", "keys"), "id").alias("x"))
-    near = cut(links(classes.select("node", "x.fp", "x.keys"), WIDE_RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    rows = cut(given.mapInArrow(run, "id long, c1 long, c2 long, fp binary, keys array<long>, n long"))
+    classes = rows.groupBy("c1", "c2").agg(F.min("id").alias("node"), F.min_by(F.struct("fp", "keys", "n"), "id").alias("x"))
+    family = cut(connected_components(links(classes.select("node", "x.fp", "x.keys"), WIDE_RADIUS)).join(classes.select("node", "x.n"), "node").groupBy("node", "component").agg(F.max("n").alias("n")))
+    parts = family.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / FAMILY_WORDS)).cast("int").alias("parts"))
+    group = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    ends = family.join(parts, "component").select(F.col("node").alias("id"), "component", "parts", group.alias("g"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(words_of(t.as_py()), k) for t in part.column(1)], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([shingle_set(words_of(t.as_py()), k) for t in part.column(part.num_columns - 1)], pa.binary())], [*part.schema.names[:-1], "shingles"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    known = given.join(ends.hint("shuffle_hash"), "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
-    left = near.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    pairs = left.join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    parts = connected_components(pairs.mapInArrow(confirm, "a long, b long"))
+        rest: pa.Table | None = None
+        for b in _with_end(batches):
+            if b is not None:
+                t = pa.Table.from_batches([b])
+                rest = t if rest is None else pa.concat_tables([rest, t])
+            if rest is None or not rest.num_rows:
+                continue
+            ids = [rest.column(c).to_numpy() for c in ("component", "x", "y")]
+            edge = [0, *(np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1).tolist()]
+            edge += [rest.num_rows] if b is None else []
+            found: tuple[list[int], list[int]] = ([], [])
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                if hi - lo > 1:
+                    cell = rest.slice(lo, hi - lo)
+                    packed = [np.frombuffer(x.as_py(), np.uint64) for x in cell.column("shingles")]
+                    for out, got in zip(found, exact_links(cell.column("id").to_numpy(), packed, cell.column("side").to_numpy(), threshold), strict=True):
+                        out += got
+            rest = rest.slice(edge[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    known = given.join(ends.hint("shuffle_hash"), "id").select("id", "component", "parts", "g", "text").mapInArrow(sets, "id long, component long, parts int, g int, shingles binary")
+    placed = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "component", F.least("g", "other").alias("x"), F.greatest("g", "other").alias("y"), F.when(F.col("g") == F.col("other"), 2).when(F.col("g") < F.col("other"), 0).otherwise(1).alias("side"), "id", "shingles"
+    )
+    dealt = placed.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    parts = connected_components(dealt.mapInArrow(confirm, "a long, b long"))
     named = classes.join(parts, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
     grouped = rows.select("id", "c1", "c2").distinct().join(named, ["c1", "c2"])
     others = grouped.where("id <> component")
