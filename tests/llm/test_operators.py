@@ -294,6 +294,16 @@ def test_large_group_of_near_duplicates(spark, monkeypatch, cell):
     assert {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()} == want
 
 
+def test_near_duplicates_by_repeated_phrases(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(50):
+        w, phrase = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (200, 10))
+        rows += [(2 * g, " ".join(w + phrase)), (2 * g + 1, " ".join(w + phrase * 20))]
+    want = {i for i, g in jaccard_groups(rows).items() if i == g}
+    assert {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()} == want == set(range(0, 100, 2))
+
+
 # -- search -------------------------------------------------------------------------------------
 
 

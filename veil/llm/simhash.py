@@ -256,8 +256,11 @@ _ODD = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint
 
 
 def sketch(words: list[bytes], k: int) -> tuple[bytes, list[int]]:
-    """The 128-bit SimHash of a text's k-word shingles and the keys of its bands of least hashes."""
-    digests = b"".join(map(xxhash.xxh3_128_digest, shingle_list(words, k)))
+    """The 128-bit SimHash of a text's distinct k-word shingles and the keys of its bands of least hashes.
+
+    Distinct, as the similarity that is confirmed is: repeats would draw the SimHashes of two texts of equal sets apart.
+    """
+    digests = b"".join(map(xxhash.xxh3_128_digest, set(shingle_list(words, k))))
     if not digests:
         return bytes(16), []
     low = np.frombuffer(digests, ">u8")[1::2].astype(np.uint64)
