@@ -17,8 +17,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; n_chars follows the text."""
-    found = line_dedup.dedup_lines(docs)
+    """Texts without later repeated runs of lines and later repeated long lines; n_chars follows the text."""
+    found = line_dedup.dedup_lines(docs, by_content=True)
     return found.select(*(F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 

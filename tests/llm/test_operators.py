@@ -431,6 +431,35 @@ def test_line_dedup_edges(awkward, empty):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def without_later_passages(rows):
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        cut = set()
+        for p in range(len(full)):
+            for n in (1, 2):
+                gram = tuple(lines[k] for k in full[p : p + n])
+                if len(gram) == n and (n == 2 or len(gram[0].split()) >= 20 or len(gram[0]) >= 100):
+                    if gram in seen:
+                        cut.update(range(p, p + n))
+                    seen.add(gram)
+        gone = {full[p] for p in cut} | {k for p in cut if p + 1 in cut for k in range(full[p], full[p + 1])}
+        out.append((i, len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+def test_line_dedup_by_content(spark, awkward, empty):
+    rng = random.Random(13)
+    stock = ["a", "b", "c d", "", " ", "\t", "e", "f", "g", "h", "字" * 100, "字" * 99, *(" ".join(f"w{rng.randrange(99)}" for _ in range(n)) for n in (19, 20, 60, 60))]
+    rows = [(i, "\n".join(rng.choice(stock) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    rows += [(100, stock[-1]), (101, stock[-1]), (102, f"x\n\n{stock[-2]}\n\n{stock[-1]}\n\ny")]
+    got = line_dedup.dedup_lines(table(spark, rows), by_content=True)
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got.collect()) == without_later_passages(rows)
+    assert len(line_dedup.dedup_lines(awkward, by_content=True).collect()) == len(AWKWARD) and line_dedup.dedup_lines(empty, by_content=True).count() == 0
+    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
+
+
 # -- languages ----------------------------------------------------------------------------------
 
 

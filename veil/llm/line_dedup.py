@@ -15,6 +15,8 @@ from veil.llm.common import cut
 
 #: Lines of the shortest run that is found for certain.
 WINDOW = 2
+#: A line of so many words, or so many characters (scripts without spaces), is a passage by itself where runs count by content.
+LONG_WORDS, LONG_CHARS = 20, 100
 
 
 def _lines(text: str) -> Column:
@@ -25,45 +27,68 @@ def _hashes(lines: Column, salt: int) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.lit(salt), x))
 
 
-def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def _long(line: Column) -> Column:
+    return (F.length(line) >= LONG_CHARS) | ((F.length(line) >= 2 * LONG_WORDS - 1) & (F.size(F.split(F.trim(line), r"\s+")) >= LONG_WORDS))
+
+
+def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, by_content: bool = False) -> DataFrame:
     """(id, text_hash, runs): the maximal runs [first, end) of lines that repeat earlier ones, in order.
 
     Earlier is by (id, hash of the text, line).  A window that holds a blank line is none, so blank
     lines end runs and stay.  Contents are compared by two 64-bit hashes of all their lines.  Both aggregates
     are checkpointed, so the joins with them shuffle both sides and AQE can split a hot line's or window's rows.
+
+    by_content also takes each line of LONG_WORDS words or LONG_CHARS characters as a window of its own, and steps over
+    blank lines: windows are of the lines with content, and blank lines inside a run go with it.
     """
     at = lambda a, i: F.get(F.col(a), i)
     span = lambda a, p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda j: at(a, (p + j).cast("int")))
     lines = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.lit(3), F.col(text_col).cast("string")).alias("th"), _lines(text_col).alias("l"))
-    hashed = lines.where(F.size("l") >= window).select("id", "th", _hashes(F.col("l"), 1).alias("h"), _hashes(F.col("l"), 2).alias("k"), F.transform("l", lambda x: F.trim(x) != "").alias("full"))
+    if by_content:
+        full = F.filter(F.transform("l", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(r"\S"))
+        lines = lines.select("id", "th", full.alias("s")).select("id", "th", F.col("s.x").alias("l"), F.col("s.i").alias("line"))
+        hashed = lines.where(F.size("l") >= 1).select("id", "th", "line", _hashes(F.col("l"), 1).alias("h"), _hashes(F.col("l"), 2).alias("k"), F.transform("l", _long).alias("long"))
+    else:
+        hashed = lines.where(F.size("l") >= window).select("id", "th", _hashes(F.col("l"), 1).alias("h"), _hashes(F.col("l"), 2).alias("k"), F.transform("l", lambda x: F.trim(x) != "").alias("full"))
     least = lambda p: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda j: F.struct(at("h", (p + j).cast("int")).alias("h"), (p + j).cast("int").alias("j"))))
-    starts = F.filter(F.sequence(F.lit(0), F.size("h") - window), lambda p: F.forall(span("full", p), lambda x: x))
-    windows = F.transform(starts, lambda p: F.struct(least(p).alias("f"), p.cast("int").alias("p"), F.xxhash64(span("h", p)).alias("g"), F.xxhash64(span("k", p)).alias("g2")))
-    placed = hashed.select("id", "th", F.explode(windows).alias("w")).select("id", "th", F.col("w.f.h").alias("f"), F.col("w.f.j").alias("j"), F.col("w.p").alias("p"), F.col("w.g").alias("g"), F.col("w.g2").alias("g2"))
-    marks = F.transform(starts, least)
+    content = lambda p, n, f, g, g2: F.struct(f.alias("f"), p.cast("int").alias("p"), F.lit(n).alias("n"), F.xxhash64(g).alias("g"), F.xxhash64(g2).alias("g2"))
+    if by_content:
+        starts = F.when(F.size("h") >= window, F.sequence(F.lit(0), F.size("h") - window)).otherwise(F.array().cast("array<int>"))
+        alone = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda p: at("long", p))
+        mark = lambda p: F.struct(at("h", p).alias("h"), p.cast("int").alias("j"))
+        marks = F.concat(F.transform(starts, least), F.transform(alone, mark))
+        windows = F.concat(F.transform(starts, lambda p: content(p, window, least(p), span("h", p), span("k", p))), F.transform(alone, lambda p: content(p, 1, mark(p), F.array(at("h", p)), F.array(at("k", p)))))
+        bounds = (at("line", F.col("w.p")).alias("s"), (at("line", F.col("w.p") + F.col("w.n") - 1) + 1).alias("e"))
+    else:
+        starts = F.filter(F.sequence(F.lit(0), F.size("h") - window), lambda p: F.forall(span("full", p), lambda x: x))
+        marks = F.transform(starts, least)
+        windows = F.transform(starts, lambda p: content(p, window, least(p), span("h", p), span("k", p)))
+        bounds = (F.col("w.p").alias("s"), (F.col("w.p") + F.col("w.n")).alias("e"))
+    own = ["line"] if by_content else []
+    placed = hashed.select("id", "th", *own, F.explode(windows).alias("w")).select("id", "th", F.col("w.f.h").alias("f"), F.col("w.p").alias("p"), (F.col("w.p") + F.col("w.n")).alias("q"), *bounds, F.col("w.g").alias("g"), F.col("w.g2").alias("g2"))
     chosen = hashed.select(F.explode(F.array_distinct(marks)).alias("m")).select(F.col("m.h").alias("f"))
     repeated = cut(chosen.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
-    candidates = placed.join(repeated, "f").select("id", "th", "p", "g", "g2")
+    candidates = placed.join(repeated, "f").select("id", "th", "p", "q", "s", "e", "g", "g2")
     where = F.struct("id", "th", "p")
     first = cut(candidates.groupBy("g", "g2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "g2", "first"))
-    later = candidates.join(first, ["g", "g2"]).where(~where.eqNullSafe(F.col("first"))).select("id", "th", "p").distinct()
-    order = Window.partitionBy("id", "th").orderBy("p")
-    gap = (F.col("p") > F.lag("p").over(order) + window).cast("int")
-    islands = later.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(order))
-    runs = islands.groupBy("id", "th", "run").agg(F.min("p").alias("first"), (F.max("p") + window).alias("end"))
+    later = candidates.join(first, ["g", "g2"]).where(~where.eqNullSafe(F.col("first"))).select("id", "th", "p", "q", "s", "e").distinct()
+    order = Window.partitionBy("id", "th").orderBy("p", "q")
+    gap = (F.col("p") > F.max("q").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    islands = later.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy("id", "th", "run").agg(F.min("s").alias("first"), F.max("e").alias("end"))
     return runs.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, by_content: bool = False) -> DataFrame:
     """docs with all columns, the text without later repeated runs, and n_lines, n_removed, n_runs (of the input, and of what went).
 
     Columns of docs by these three names are replaced.  A null text stays null and an empty one empty, with no lines; a
     text that repeats others whole becomes empty.  Rows equal in id and text count as one and each come out alike.
     Text is shuffled once, to meet its runs; a window in a third of all rows is aggregated before the
-    shuffle and joined as one row against many, which AQE splits.  An empty table gives none.
+    shuffle and joined as one row against many, which AQE splits.  An empty table gives none.  by_content as in later_runs.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    runs = later_runs(docs, id_col, text_col, window).withColumnsRenamed({"id": "_id", "th": "_th", "runs": "_runs"})
+    runs = later_runs(docs, id_col, text_col, window, by_content).withColumnsRenamed({"id": "_id", "th": "_th", "runs": "_runs"})
     here = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(id_col).cast("bigint").alias("_key"), F.xxhash64(F.lit(3), F.col(text_col).cast("string")).alias("_hash"))
     both = here.join(runs.hint("shuffle_hash"), (F.col("_hash") == F.col("_th")) & F.col("_key").eqNullSafe(F.col("_id")), "left")
     lines, gone = _lines(text_col), F.col("_runs")
