@@ -484,3 +484,23 @@ def test_language_id(spark, awkward, empty):
     assert language_id.identify(empty, model).count() == 0
     none = language_id.train(empty)
     assert {r.lang_pred for r in language_id.identify(awkward, none).collect()} == {"und"}
+
+
+def test_foreign_texts_are_rejected(spark):
+    stock = {
+        "en": "the and of with is that for was his not this have from they which one you were all her would there their said when who more".split(),
+        "de": "der die und das ist nicht ein sie mit sich auf dem war für auch eine als werden noch über schön keit".split(),
+    }
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(stock[("en", "de")[i % 2]]) for _ in range(rng.choice([5, 20, 60, 300]))), ("en", "de")[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 2,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 2,
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。" * 5,
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60)),
+    ]
+    model = language_id.train(docs)
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(foreign)], "doc_id long, text string"))
+    kept = language_id.identify(given, model, reject=True, drop_rejected=True)
+    assert {r.doc_id for r in kept.collect()} == set(range(600))

@@ -3,7 +3,7 @@
 A text's vector holds its hashed byte n-grams (1 to 4 bytes of the lower-cased text with runs of
 anything but letters made one space), log TF times IDF, normalised.  Each language has several centroids, found by
 spherical k-means over its training texts; the language of the most similar centroid by cosine
-wins.  A text whose cosine to every centroid is below the model's floor is rejected.
+wins.  A text whose cosine to every centroid is below the model's floor for texts of its length is rejected.
 """
 
 from __future__ import annotations
@@ -25,6 +25,12 @@ PER_LANGUAGE, MOST_ROWS = 500, 4000
 CLUSTERS = 4
 #: Texts are counted in pieces of so many bytes, so a very long one needs no more memory.
 PIECE = 1 << 20
+#: Bins of n-gram counts by powers of two, the pieces of training texts that fill them (characters), and what makes a floor of their cosines.
+BINS = 20
+PIECES = [1 << i for i in range(3, 13)]
+QUANTILE, RARE, MARGIN, LEAST = 0.02, 0.001, 0.8, 200
+#: Texts in bins under this (255 n-grams, about 60 characters) tell too little, so only the rarest cosines of pieces make their floor.
+SHORT = 8
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -36,24 +42,26 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # (DIMENSIONS, languages * clusters)
     owner: np.ndarray  # language of each centroid
-    floor: float
+    floors: np.ndarray  # of each bin of n-gram counts
 
-    def vectors(self, texts: list[str | None]) -> np.ndarray:
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors, and the bin of each text's number of n-grams."""
         rows = np.zeros((len(texts), DIMENSIONS), np.float32)
         for i, t in enumerate(texts):
             if t and _LETTER.search(t):
                 rows[i] = counts(t)
-        return _weigh(rows, self.idf)
+        return _weigh(rows, self.idf), np.minimum(np.log2(rows.sum(axis=1) + 1).astype(np.int64), BINS - 1)
 
     def predict(self, texts: list[str | None], reject: bool = False) -> tuple[list[str], np.ndarray]:
         if not self.languages or not texts:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        cosine = self.vectors(texts) @ self.centroids
+        vectors, size = self.vectors(texts)
+        cosine = vectors @ self.centroids
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(float)
         none = [not (t and _LETTER.search(t)) for t in texts]
         score[none] = 0
-        out = [UNKNOWN if n or (reject and s < self.floor) else self.languages[self.owner[k]] for n, s, k in zip(none, score, best, strict=True)]
+        out = [UNKNOWN if n or (reject and s < f) else self.languages[self.owner[k]] for n, s, k, f in zip(none, score, best, self.floors[size], strict=True)]
         return out, score
 
 
@@ -115,7 +123,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = _features(picked)
     rows.sort()
     if not rows:
-        return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.int64), 0.0)
+        return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.int64), np.zeros(BINS))
     raw = np.stack([np.frombuffer(c, np.uint16) for _, _, c in rows]).astype(np.float32)
     idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
     x = _weigh(raw, idf)
@@ -123,9 +131,35 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     names = sorted(set(lang.tolist()))
     groups = [_cluster(x[lang == n], clusters) for n in names]
     centroids = np.concatenate(groups).T.astype(np.float32)
-    own = (x @ centroids).max(axis=1)
-    floor = 0.25 * float(np.quantile(own, 0.001))
-    return Model(names, idf, centroids, np.repeat(np.arange(len(names)), [len(g) for g in groups]), floor)
+    model = Model(names, idf, centroids, np.repeat(np.arange(len(names)), [len(g) for g in groups]), np.zeros(BINS))
+    model.floors = np.minimum(_floors(picked, model), MARGIN * np.quantile((x @ model.centroids).max(axis=1), RARE))
+    return model
+
+
+def _floors(picked: DataFrame, model: Model) -> np.ndarray:
+    """For each power of two of n-grams, MARGIN of a low quantile of the cosines of pieces of the training texts with so many.
+
+    Pieces are taken from the start and the middle of each text, so that short texts are held to what short pieces score and long ones to
+    what long ones do; train() lets no floor be over MARGIN of what nearly all whole texts score.  A bin of under LEAST pieces has the floor of the next shorter one that has as many.
+    """
+    shared = picked.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                sizes = [n for n in PIECES if n < len(t)]
+                texts = [x for x in [t, *(t[:n] for n in sizes), *(t[len(t) // 2 :][:n] for n in sizes)] if _LETTER.search(x)]
+                if texts:
+                    vectors, size = m.vectors(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array(size.astype("i4")), pa.array((vectors @ m.centroids).max(axis=1).astype("f8"))], ["size", "score"])
+
+    rows = picked.mapInArrow(run, "size int, score double").groupBy("size").agg(F.count("*").alias("n"), F.percentile("score", F.array(F.lit(RARE), F.lit(QUANTILE))).alias("low")).collect()
+    known = {r["size"]: MARGIN * r["low"][int(r["size"] >= SHORT)] for r in rows if r["n"] >= LEAST}
+    out = np.zeros(BINS)
+    for i in range(1, BINS):
+        out[i] = known.get(i, out[i - 1])
+    return out
 
 
 def _features(picked: DataFrame) -> list[tuple[int, str, bytes]]:
@@ -144,7 +178,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", reject: bool =
     """df (or its columns `keep`) with lang_pred and score, one narrow stage.
 
     `und` with score 0 for a null text or one with no letter, and with reject=True also below the
-    model's floor (drop_rejected leaves those rows out).  Columns of df by these two names are replaced.  Repeated rows stay; an empty table gives none.
+    model's floor for the text's length (drop_rejected leaves those rows out).  Columns of df by these two names are replaced.  Repeated rows stay; an empty table gives none.
     """
     kept = [c for c in (keep or df.columns) if c not in ("lang_pred", "score")]
     given = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("_text_"))
