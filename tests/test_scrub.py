@@ -132,3 +132,8 @@ def test_stream(spark, tmp_path):
     query = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.type, r.n) for r in spark.table("counts").collect()] == [("email", 1)]
+
+
+def test_spacy_is_listed_as_not_implemented():
+    listed = next(s for s in catalogue.BY_LOCALE["en_US"] if s.name == "spacy_entities")
+    assert "not implemented" in listed.description and catalogue.builders("en_US", ["spacy_entities"]) == []

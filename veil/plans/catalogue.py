@@ -58,14 +58,14 @@ def _listed(kind: str) -> Callable[[str], Builder]:
 
 
 def _spacy(locale: str) -> Builder:
-    raise RuntimeError("named-entity models are not installed")
+    raise RuntimeError("spacy_entities is not implemented")
 
 
 def _spacy_there(locale: str) -> bool:
     return importlib.util.find_spec("spacy") is not None
 
 
-_NER = Spec("spacy_entities", "Named entities by a spaCy model (where one is installed)", _spacy, _spacy_there, False)
+_NER = Spec("spacy_entities", "Named entities by a spaCy model (not implemented: listed only)", _spacy, _spacy_there, False)
 GENERIC: list[Spec] = [
     Spec("markdown_url", "URLs in Markdown links [text](url)", _pattern(D.markdown_url)),
     Spec("sharepoint_url", "SharePoint URLs, before the generic URLs", _pattern(D.sharepoint_url)),
