@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -382,15 +383,39 @@ def test_token_store(spark, awkward, empty, monkeypatch):
     assert token_store.store_documents(empty, path).count() == 0
 
 
-def test_word_encoder():
+def test_a_store_is_read_by_itself(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    path = P.path("word_bpe_49k.json")
+    path, out = P.path("word_bpe_49k.json"), str(tmp_path / "store")
+    rows = [(i % 50, f"Text {i % 7} of {i}, " * (i % 9)) for i in range(300)] + [(7, None)]
+    token_store.write_store(table(spark, rows), path, 2, out)
+    library = Tokenizer.from_file(path)
+    want = collections.Counter((i, tuple([*library.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in rows)
+    got = token_store.read_store(spark.newSession(), out, keep_ids=True).collect()
+    assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(i for i, _ in rows)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_encoder(name):
+    from tokenizers import Tokenizer
+
+    path = P.path(name)
     library, own = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    assert own.words == (name == "word_bpe_49k.json")
     rng = random.Random(9)
-    for _ in range(3000):
-        t = "".join(rng.choices(list("ab'sté ÉÀ,.;\n\t\x1c\x85\xa0İΣσß1２·日😀-_") + ["<|endoftext|>", "'ll", "́"], k=rng.randint(0, 25)))
-        assert np.frombuffer(own.encode(t), own.kind).tolist() == library.encode(t, add_special_tokens=False).ids
+    stock = list("ab'sté ÉÀ,.;\n\t\x1c\x85\xa0İΣσß1２·日😀-_") + ["<|endoftext|>", "'ll", "\u0301", "The", "Öl!", "x."]
+    texts = ["".join(rng.choices(stock, k=rng.randint(0, 25))) for _ in range(3000)]
+    ids, n = own.encode(pa.array(texts).slice(3))
+    at = 0
+    for t, size in zip(texts[3:], n.tolist(), strict=True):
+        assert ids[at : at + size].tolist() == library.encode(t, add_special_tokens=False).ids
+        at += size
+    assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 0]
 
 
 # -- lines --------------------------------------------------------------------------------------
