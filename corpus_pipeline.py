@@ -12,13 +12,12 @@ from veil.llm.common import shared_path, table
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or far from every centroid go."""
-    found = language_id.identify(docs, language_id.train(docs), reject=True, drop_rejected=True)
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return language_id.identify(docs, language_id.train(docs), reject=True, drop_rejected=True, told=False)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines and later repeated long lines; n_chars follows the text."""
-    found = line_dedup.dedup_lines(docs, by_content=True)
+    found = line_dedup.dedup_lines(docs, counts=False)
     return found.select(*(F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 

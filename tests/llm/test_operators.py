@@ -421,28 +421,47 @@ def test_word_encoder(name):
 # -- lines --------------------------------------------------------------------------------------
 
 
-def without_later_runs(rows, n):
+def without_later_passages(rows, w):
     seen, out = set(), []
     for i, t in sorted(rows):
         lines = t.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
         cut = set()
-        for p in range(len(lines) - n + 1):
-            gram = tuple(lines[p : p + n])
-            if all(x.strip(" ") for x in gram):
-                if gram in seen:
-                    cut.update(range(p, p + n))
-                seen.add(gram)
-        runs = sum(p - 1 not in cut for p in cut)
-        out.append((i, len(lines) if t else 0, len(cut), runs, "\n".join(x for k, x in enumerate(lines) if k not in cut)))
+        for p in range(len(full)):
+            for n in {1, w}:
+                gram = tuple(lines[k] for k in full[p : p + n])
+                if len(gram) == n and (n == w or len(gram[0].split()) >= 20 or len(gram[0]) >= 100):
+                    if gram in seen:
+                        cut.update(range(p, p + n))
+                    seen.add(gram)
+        gone = {full[p] for p in cut} | {k for p in cut if p + 1 in cut for k in range(full[p], full[p + 1])}
+        out.append((i, len(lines) if t else 0, len(gone), sum(p - 1 not in cut for p in cut), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return out
 
 
+def some_lines(rng):
+    stock = ["a", "b", "c d", "", " ", "\t", "e", "f", "g", "h", "字" * 100, "字" * 99, *(" ".join(f"w{rng.randrange(99)}" for _ in range(n)) for n in (19, 20, 60, 60))]
+    rows = [(i, "\n".join(rng.choice(stock) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    return [*rows, (100, stock[-1]), (101, stock[-1]), (102, f"x\n\n{stock[-2]}\n\n{stock[-1]}\n\ny"), *((i, "one paragraph\n\nanother\n\n") for i in (103, 104, 105))]
+
+
 @pytest.mark.parametrize("window", [1, 2, 3])
 def test_line_dedup(spark, window):
-    rng = random.Random(window)
-    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "d e", "", " ", "f", "g", "h", "i"]) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    rows = some_lines(random.Random(window))
     got = line_dedup.dedup_lines(table(spark, rows), window=window)
-    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.text) for r in got.collect()) == without_later_runs(rows, window)
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.text) for r in got.collect()) == without_later_passages(rows, window)
+    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_line_dedup_as_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [*some_lines(random.Random(13)), (200, None), (201, "")]
+    docs = table(spark, rows)
+    docs.write.parquet(str(tmp_path / "d"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("text").cast("binary"), 256))
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(line_dedup.SQL).fetchall())
 
 
 def test_line_dedup_edges(awkward, empty):
@@ -452,37 +471,37 @@ def test_line_dedup_edges(awkward, empty):
     by = {r.doc_id: r for r in rows}
     assert by[0].text is None and by[0].n_lines == 0 and by[7].text == "one line\ntwo line" and by[6].text == "😀 é\n\n\ná"
     assert line_dedup.dedup_lines(empty).count() == 0
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
-def without_later_passages(rows):
-    seen, out = set(), []
-    for i, t in sorted(rows):
-        lines = t.split("\n")
-        full = [k for k, x in enumerate(lines) if x.strip()]
-        cut = set()
-        for p in range(len(full)):
-            for n in (1, 2):
-                gram = tuple(lines[k] for k in full[p : p + n])
-                if len(gram) == n and (n == 2 or len(gram[0].split()) >= 20 or len(gram[0]) >= 100):
-                    if gram in seen:
-                        cut.update(range(p, p + n))
-                    seen.add(gram)
-        gone = {full[p] for p in cut} | {k for p in cut if p + 1 in cut for k in range(full[p], full[p + 1])}
-        out.append((i, len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    return out
+# -- columns of other names ---------------------------------------------------------------------
 
+CLASHING = ["_hash", "_key", "_runs", "_id", "_th", "_text_", "_text", "_gone", "id", "th", "runs", "n_lines", "lang_pred", "score", "h", "x", "component", "_name", "spans", "_spans", "raw", "todo"]
 
-def test_line_dedup_by_content(spark, awkward, empty):
-    rng = random.Random(13)
-    stock = ["a", "b", "c d", "", " ", "\t", "e", "f", "g", "h", "字" * 100, "字" * 99, *(" ".join(f"w{rng.randrange(99)}" for _ in range(n)) for n in (19, 20, 60, 60))]
-    rows = [(i, "\n".join(rng.choice(stock) for _ in range(rng.randint(0, 12)))) for i in range(80)]
-    rows += [(100, stock[-1]), (101, stock[-1]), (102, f"x\n\n{stock[-2]}\n\n{stock[-1]}\n\ny")]
-    got = line_dedup.dedup_lines(table(spark, rows), by_content=True)
-    assert sorted((r.doc_id, r.n_removed, r.text) for r in got.collect()) == without_later_passages(rows)
-    assert len(line_dedup.dedup_lines(awkward, by_content=True).collect()) == len(AWKWARD) and line_dedup.dedup_lines(empty, by_content=True).count() == 0
-    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
+
+@pytest.fixture(scope="module")
+def clashing(awkward):
+    return awkward.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(c).alias(c) for c in CLASHING))
+
+
+@pytest.mark.parametrize("name", ["language_id", "line_dedup", "near_dedup", "decontamination"])
+def test_stages_leave_other_columns_alone(spark, clashing, tmp_path, name):
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = dict(corpus_pipeline.STAGES)[name](spark, clashing, str(tmp_path))
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert rows and all(r[c] == c for r in rows for c in CLASHING)
+
+
+def test_operators_pass_over_other_columns(spark, clashing):
+    n = len(AWKWARD)
+    model = quality.train(clashing, spark.createDataFrame([(3, 1)], "doc_id long, quality int"))
+    assert sharding.shard(clashing, 3).count() == quality.score(clashing, model, "source", "lang").count() == simhash.near_duplicates(clashing).count() == n
+    assert suffix_dedup.remove_repeats(clashing).count() == bpe.encode_documents(clashing, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == n
+    assert token_store.store_documents(clashing, P.path("word_bpe_49k.json")).count() == line_dedup.dedup_lines(clashing).count() == n
+    found = language_id.identify(clashing, language_id.train(clashing))
+    assert found.count() == n and found.columns.count("score") == 1
 
 
 # -- languages ----------------------------------------------------------------------------------

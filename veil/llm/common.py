@@ -33,6 +33,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores before it as make it none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)

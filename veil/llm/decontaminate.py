@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veil.llm.common import free
 from veil.llm.hamming import MultiIndex
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -174,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     repeated rows each give theirs; no benchmark or no documents gives no rows.  One narrow pass over the
     documents for each block of the benchmark: nothing of the documents is shuffled, and what is broadcast has the size of a block.
     """
-    given = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("_text_"))
+    given = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(free([id_col], "text")[0]))
     schema = f"`{id_col}` long, `{item_col}` long, first_word long, n_words int, distance int, similarity double"
     names = [id_col, item_col, "first_word", "n_words", "distance", "similarity"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
@@ -213,5 +214,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     out = docs
     for block in blocks(benchmark, item_col, item_text, chars):
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block))
-        out = out.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("_text_")).mapInArrow(scan(shared), docs.schema)
+        out = out.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias(free(kept, "text")[0])).mapInArrow(scan(shared), docs.schema)
     return out

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.llm.common import cut, free
+
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
 SIZES = (1, 2, 3, 4)
@@ -174,14 +176,14 @@ def _features(picked: DataFrame) -> list[tuple[int, str, bytes]]:
     return [tuple(r) for r in picked.mapInArrow(run, "id long, lang string, counts binary").collect()]
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", reject: bool = False, keep: list[str] | None = None, drop_rejected: bool = False) -> DataFrame:
+def identify(df: DataFrame, model: Model, text_col: str = "text", reject: bool = False, keep: list[str] | None = None, drop_rejected: bool = False, told: bool = True) -> DataFrame:
     """df (or its columns `keep`) with lang_pred and score, one narrow stage.
 
     `und` with score 0 for a null text or one with no letter, and with reject=True also below the
-    model's floor for the text's length (drop_rejected leaves those rows out).  Columns of df by these two names are replaced.  Repeated rows stay; an empty table gives none.
+    model's floor for the text's length (drop_rejected leaves those rows out).  Columns of df by these two names are replaced; told=False adds and replaces none.  Repeated rows stay; an empty table gives none.
     """
-    kept = [c for c in (keep or df.columns) if c not in ("lang_pred", "score")]
-    given = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("_text_"))
+    kept = [c for c in (keep or df.columns) if not told or c not in ("lang_pred", "score")]
+    given = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias(free(kept, "text")[0]))
     context = df.sparkSession.sparkContext
     shared = context.broadcast(model)
 
@@ -191,8 +193,9 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", reject: bool =
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 lang, score = m.predict(part.column(part.num_columns - 1).to_pylist(), reject)
-                out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+                new = [pa.array(lang, pa.string()), pa.array(score, pa.float64())] if told else []
+                out = pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*part.schema.names[:-1], *["lang_pred", "score"][: len(new)]])
                 yield out.filter(pa.array([x != UNKNOWN for x in lang])) if drop_rejected else out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + ", lang_pred string, score double" * told
     return given.mapInArrow(run, schema)
