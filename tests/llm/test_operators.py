@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import struct
 import zlib
@@ -354,6 +355,42 @@ def test_quality(spark, awkward, empty):
     assert quality.score(awkward, blank, "null", "null").count() == len(AWKWARD)
 
 
+def logit(p):
+    return math.log(p / (1 - p))
+
+
+def test_posteriors_by_hand(spark):
+    rng = random.Random(15)
+    rows = [(i, words(rng, 30) if rng.random() < 0.6 else "### | | " * rng.randint(1, 20), f"h{i % 7 % 4}", f"p{rng.randint(0, 5)}") for i in range(300)] + [(900, None, None, "p0"), (901, " ", "h0", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    model = quality.train(docs, spark.createDataFrame([(i, int("#" not in t)) for i, t, _, _ in rows[:300]], "doc_id long, quality int"))
+    evidence = model.ratio([t for _, t, _, _ in rows]).tolist()
+    assert evidence[-2:] == [0, 0] and np.mean([(e > 0) == ("#" not in t) for e, (_, t, _, _) in zip(evidence, rows[:300], strict=False)]) > 0.95
+    p = [1 / (1 + math.exp(-(e + logit(model.prior)))) for e in evidence]
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for (_, _, h, q), x in zip(rows, p, strict=True):
+        hosts[h or ""].append(x)
+        paths[h or "", q or ""].append(x)
+    mean = sum(p) / len(p)
+
+    def weight(groups, toward):
+        spread = sum(len(g) * (sum(g) / len(g) - toward(k)) ** 2 for k, g in groups.items())
+        noise = mean * (1 - mean)
+        between = (spread - len(groups) * noise) / len(p)
+        return min(max(noise / between - 1, 1), 1e6) if between > 0 else 1e6
+
+    hw = weight(hosts, lambda _: mean)
+    above = lambda k: (sum(hosts[k[0]]) + hw * mean) / (len(hosts[k[0]]) + hw)
+    pw = weight(paths, above)
+    got = {r.doc_id: r for r in quality.score(docs, model, "host", "path").collect()}
+    for (i, _, h, q), e, x in zip(rows, evidence, p, strict=True):
+        h, q = h or "", q or ""
+        host = (sum(hosts[h]) - x + hw * mean) / (len(hosts[h]) - 1 + hw)
+        path = (sum(paths[h, q]) - x + pw * host) / (len(paths[h, q]) - 1 + pw)
+        want = (e, host, path, 1 / (1 + math.exp(-(e + logit(path)))))
+        assert (got[i].evidence, got[i].host_quality, got[i].path_quality, got[i].quality) == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
 # -- token store --------------------------------------------------------------------------------
 
 
@@ -530,6 +567,51 @@ def test_language_id(spark, awkward, empty):
     assert {r.lang_pred for r in language_id.identify(awkward, none).collect()} == {"und"}
 
 
+def test_language_vectors_by_hand(spark):
+    texts = {1: "Der Hund, der Hund!", 2: "the dog\nthe cat", 3: "le chien é", 4: "dog 12 hund", 6: "日本 x"}
+    docs = spark.createDataFrame([(i, t, ("en", "de", "fr")[i % 3]) for i, t in texts.items()], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+
+    def grams(text):
+        kept = "".join(c if c.isalpha() else " " for c in text.lower())
+        data = f" {' '.join(kept.split())} ".encode()
+        out = collections.Counter()
+        for n in range(1, 5):
+            for at in range(len(data) - n + 1):
+                code = 0
+                for b in data[at : at + n]:
+                    code = (code * 257 + b) % 2**32
+                out[((code + n * 0x9E3779B1) * 0x85EBCA6B % 2**32) >> 19] += 1
+        return out
+
+    learned = [grams(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5]
+    seen = collections.Counter(g for x in learned for g in x)
+
+    def vector(text):
+        x = {g: math.log1p(n) * (math.log((1 + len(learned)) / (1 + seen[g])) + 1) for g, n in grams(text).items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {g: v / length for g, v in x.items()}
+
+    given = [*texts.values(), "ein Hund", "cats and dogs", "deux chiens"]
+    pred, score = model.predict(given)
+    for t, p, s in zip(given, pred, score.tolist(), strict=True):
+        cosines = [sum(v * model.centroids[g, k] for g, v in vector(t).items()) for k in range(model.centroids.shape[1])]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert p == model.languages[model.owner[best]] and s == pytest.approx(min(cosines[best], 1), abs=1e-5)
+
+
+def test_language_sample(spark):
+    rows = [(i * 7919 - 5000, ("a", "b", "c", "d")[min(i % 11, 3)]) for i in range(3000)] + [(5, "rare"), (6, "rare")]
+    df = spark.createDataFrame(rows, "id long, lang string")
+    hashes = {r.id: r.v for r in df.select("id", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("v")).collect()}
+    for per, most in ((20, 4000), (100, 130), (20, 3), (5000, 4000)):
+        by = collections.defaultdict(list)
+        for i, lang in rows:
+            by[lang].append((hashes[i], i))
+        ranked = sorted((r, lang, i) for lang, own in by.items() for r, (_, i) in enumerate(sorted(own)[:per]))
+        assert {r.id for r in language_id.sample(df, per, most).collect()} == {i for _, _, i in ranked[:most]}
+
+
 def test_foreign_texts_are_rejected(spark):
     stock = {
         "en": "the and of with is that for was his not this have from they which one you were all her would there their said when who more".split(),

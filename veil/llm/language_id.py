@@ -106,22 +106,30 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def sample(rows: DataFrame, per_language: int, most_rows: int) -> DataFrame:
+    """The ids, most_rows at most, of rows (id, lang): the first per_language of each language in the order of a hash of the id, first ranks first.
+
+    Counts by language and power of the hash, which merge before any shuffle, give each language the last power it needs,
+    so no task ranks more than a few rows over per_language, however many there are.  Of over most_rows languages only the first by name can be
+    among the ranks that are kept, so what is broadcast is bounded.
+    """
+    keyed = rows.withColumn("v", F.shiftrightunsigned(F.xxhash64("id"), 1)).withColumn("power", F.floor(F.log2(F.col("v").cast("double") + 1) * 16).cast("int"))
+    counted = keyed.groupBy("lang", "power").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("power")) - F.col("n")
+    last = counted.select("lang", "power", before.alias("before")).where(F.col("before") < per_language).groupBy("lang").agg(F.max("power").alias("last")).orderBy("lang").limit(most_rows)
+    few = keyed.join(F.broadcast(last), "lang").where("power <= last").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("v", "id")))
+    return few.where(F.col("r") <= per_language).orderBy("r", "lang", "id").limit(most_rows).select("id").distinct()
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS, most_rows: int = MOST_ROWS) -> Model:
     """Learns from rows that are not held out and have text and language: at most per_language of each, most_rows in all.
 
-    They are the first in the order of a hash of the id, so the choice does not depend on
-    partitions.  Only ids and languages are ranked; texts are fetched for the chosen ids alone, whose
+    sample() chooses them, in a way that does not depend on partitions; texts are fetched for the chosen ids alone, whose
     number, and so the broadcast and what comes to the driver (16 KB a row), is bounded whatever the table's size.
     """
     usable = df.where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        usable.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang"))
-        .withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-        .orderBy("r", "lang", "id").limit(most_rows).select("id").distinct()
-    )
-    texts = usable.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    picked = texts.join(F.broadcast(chosen), "id", "left_semi")
+    texts = usable.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    picked = texts.join(F.broadcast(sample(texts.select("id", "lang"), per_language, most_rows)), "id", "left_semi")
     rows = _features(picked)
     rows.sort()
     if not rows:

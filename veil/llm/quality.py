@@ -1,6 +1,6 @@
 """Quality scores by hierarchical empirical Bayes.
 
-A logistic model gives each document's evidence from statistics of its whole text.  Hosts and paths get
+A logistic model, learned from labelled rows, gives each document's evidence from statistics and hashed byte n-grams of its whole text.  Hosts and paths get
 posteriors from the evidence of all their documents: a path is shrunk toward its host and a host toward the
 corpus, the more the fewer documents it has and the less such groups differ.  A document's score combines
 its own likelihood ratio with its path's posterior, its own part taken out.
@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.llm.common import cut
+from veil.llm.language_id import counts as gram_counts
 
 #: Labelled rows that the document model is fitted on at most: those first in a fixed shuffle of the ids.
 MOST_ROWS = 6000
+#: Bins of hashed n-grams, and what their weights are shrunk by against those of the statistics.
+GRAMS, GRAM_RIDGE = 512, 30.0
 #: Bounds of a group's prior weight, in documents.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1e6
 
@@ -44,6 +47,12 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def features(text: str | None) -> np.ndarray:
+    """The statistics, and the text's hashed n-grams of 1 to 4 bytes as logarithms of counts, normalised."""
+    grams = np.log1p(gram_counts(text or "").reshape(-1, GRAMS).sum(axis=0))
+    return np.r_[statistics(text), grams / max(np.linalg.norm(grams), 1e-9)].astype(np.float32)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -53,7 +62,7 @@ class Model:
 
     def ratio(self, texts: list[str | None]) -> np.ndarray:
         """Log likelihood ratios of good to bad, at most 12 either way; 0 for texts without a word."""
-        x = (np.array([statistics(t) for t in texts]) - self.mean) / self.scale
+        x = (np.array([features(t) for t in texts], float).reshape(len(texts), len(self.mean)) - self.mean) / self.scale
         blank = np.array([not (t and t.split()) for t in texts])
         return np.where(blank, 0.0, np.clip(x @ self.weight - _logit(self.prior), -12, 12))
 
@@ -72,6 +81,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> M
     w = np.zeros(x.shape[1])
     w[0] = _logit(prior)
     penalty = np.full(x.shape[1], ridge)
+    penalty[-GRAMS:] *= GRAM_RIDGE
     penalty[0] = 1e-6
     for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -91,11 +101,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([statistics(t.as_py()) for t in b.column(2)], pa.list_(pa.float64()))], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["id", "y", "x"])
 
-    got = sorted(tuple(r) for r in rows.select("id", "y", "text").mapInArrow(run, "id long, y int, x array<double>").collect())
-    width = len(statistics(""))
-    return fit(np.array([x for _, _, x in got], float).reshape(-1, width), np.array([y for _, y, _ in got], float))
+    got = sorted((i, y, bytes(x)) for i, y, x in rows.select("id", "y", "text").mapInArrow(run, "id long, y int, x binary").collect())
+    x = np.frombuffer(b"".join(x for _, _, x in got), np.float32).reshape(-1, len(features("")))
+    return fit(x.astype(float), np.array([y for _, y, _ in got], float))
 
 
 def score(docs: DataFrame, model: Model, host: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,8 +121,8 @@ def score(docs: DataFrame, model: Model, host: str, path: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shared.value.ratio(part.column(3).to_pylist()))], ["id", "host", "path", "evidence"])
 
     key = lambda e: F.coalesce(F.expr(e).cast("string"), F.lit(""))
