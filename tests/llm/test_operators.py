@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import struct
 import zlib
@@ -296,6 +297,23 @@ def test_large_group_of_near_duplicates(spark, monkeypatch, cell):
     assert {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()} == want
 
 
+def test_near_duplicates_of_the_tables(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    first = {}
+    for i, t in rows:  # copies by their words, as texts of under five words have no five-word shingles
+        first.setdefault(tuple(t.lower().split()), i)
+    groups = jaccard_groups([(i, " ".join(w)) for w, i in first.items() if len(w) >= 5])
+    want = {i for w, i in first.items() if len(w) < 5 or groups[i] == i}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    lost, found = kept - want, {i for i, _ in rows} - kept
+    print(f"recall {len(found) / (len(found) + len(lost)):.4f}")
+    assert want <= kept and len(found) >= 0.99 * (len(found) + len(lost))
+
+
 def test_near_duplicates_by_repeated_phrases(spark):
     rng = random.Random(12)
     rows = []
@@ -312,18 +330,60 @@ def test_near_duplicates_by_repeated_phrases(spark):
 def test_multi_index():
     rng = np.random.default_rng(5)
     codes = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) & np.uint64(0xFF0FF0FF00FF0FF0))
+    for m in (None, 3, 4, 8):
+        index = hamming.MultiIndex(codes, m)
+        asked = np.array([*codes[:5].tolist(), 0, 2**64 - 1], np.uint64)
+        d = np.bitwise_count(codes[None, :] ^ asked[:, None]).astype(int)
+        for radius in (0, 3, 6, 19):
+            which, at, distance = index.within(asked, radius)
+            assert sorted(zip(which.tolist(), at.tolist(), strict=True)) == [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(d <= radius)), strict=True)]
+            assert (d[which, at] == distance).all()
+        for i, code in enumerate(asked.tolist()):
+            for k, bound in ((10, 64), (10, 5), (1, 0), (5000, 64)):
+                at, distance = index.nearest(code, k, bound)
+                kth = min(bound, np.sort(d[i])[min(k, len(codes)) - 1])
+                assert sorted(at.tolist()) == np.flatnonzero(d[i] <= kth).tolist() and (np.diff(distance) >= 0).all()
+    none = hamming.MultiIndex(np.empty(0, np.uint64))
+    assert len(none.nearest(5, 3)[0]) == len(none.within(np.array([5], np.uint64), 3)[0]) == 0
+
+
+def test_blocks_filter():
+    """The index compares the few codes that its blocks list, never all of them."""
+    rng = np.random.default_rng(16)
+    codes = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    index = hamming.MultiIndex(codes, decontaminate.SEGMENTS)
+    index.within(codes[:50], decontaminate.RADIUS)
+    assert index.compared < 0.2 * 50 * len(codes)
     index = hamming.MultiIndex(codes)
-    for code in [*codes[:5].tolist(), 0, 2**64 - 1]:
-        d = np.bitwise_count(codes ^ np.uint64(code)).astype(int)
-        for radius in (0, 3, 6):
-            at, distance = index.within(code, radius)
-            assert sorted(at.tolist()) == np.flatnonzero(d <= radius).tolist() and (d[at] == distance).all()
-        at, distance = index.nearest(code, 10)
-        assert sorted(at.tolist()) == np.flatnonzero(d <= np.sort(d)[9]).tolist() and (np.diff(distance) >= 0).all()
-
-
-def test_topk(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CLASSES", 40)
+    near = codes[:50] ^ np.uint64(0b1001)
+    for code in near.tolist():
+        index.nearest(code, 1)
+    assert index.compared < 0.02 * 50 * len(codes)
+
+
+def test_decontamination_recall():
+    """Of windows of a similarity of 0.8 or more, by their shingles alone, the fingerprints' radius keeps nearly all."""
+    rng = random.Random(17)
+    kept = []
+    for n in (8, 14, 25, 40, 80, 160):
+        for _ in range(400):
+            item = [f"w{rng.randrange(10**5)}" for _ in range(n)]
+            other = list(item)
+            for _ in range(rng.randint(0, 1 + n // 25)):
+                other[rng.choice([0, n - 1, rng.randrange(n)])] = "new"
+            if rng.random() < 0.5:
+                shift = rng.randint(0, n // 10)
+                other = other[shift:] + [f"x{j}" for j in range(shift)]
+            a, b = (collections.Counter(zip(*(w[j:] for j in range(5)), strict=False)) for w in (item, other))
+            shared = sum((a & b).values())
+            if shared / (a.total() + b.total() - shared) >= 0.8:
+                kept.append(bool(decontaminate.Benchmark([(0, " ".join(item))]).matches(" ".join(other))))
+    assert len(kept) > 1000 and np.mean(kept) >= 0.999
+
+
+@pytest.mark.parametrize("classes", [40, 1000])
+def test_topk(spark, monkeypatch, classes):
+    monkeypatch.setattr(topk, "CLASSES", classes)
     monkeypatch.setattr(topk, "QUERIES", 3)
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=64).tolist()) for i in range(300)]

@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Every window of an item's length (in words) gets a 64-bit SimHash of its five-word shingles; a
-multi-index over the items' fingerprints yields all items within the radius; the weighted Jaccard similarity of the
+Every window of an item's length (in words) gets a 64-bit SimHash of its five-word shingles; one
+multi-index over the fingerprints of all items, whatever their lengths, yields those within the radius; the weighted Jaccard similarity of the
 shingles, repeats counted, then decides.  A window is fingerprinted only if it holds as many of
 the benchmark's shingles as a similarity of the threshold needs, which leaves no match out.
 """
@@ -10,21 +10,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import free
+from veil.llm.common import cut, free
 from veil.llm.hamming import MultiIndex
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: At a similarity of 0.8 fingerprints differ in 9.7 of 64 bits on average with a deviation of 2.9: 24 is five deviations on.
-RADIUS, SEGMENTS = 24, 8
+#: At a similarity of 0.8 fingerprints differ in 9.7 of 64 bits on average with a deviation of 2.9, and less above it: 19 is three deviations on.
+#: Of 4 segments one then differs in 4 of 16 bits at most, which six in seven of unlike codes fail in all four.
+RADIUS, SEGMENTS = 19, 4
 #: The benchmark is taken in blocks of so many characters; each is one broadcast and one pass over the documents.
 BLOCK_CHARS = 8_000_000
 
@@ -65,24 +67,24 @@ def _fingerprints(grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
 
 
 class Benchmark:
-    """The index of one block of items: words, shingles, and fingerprints by item length."""
+    """The index of one block of items: words, shingles, and the fingerprints of all."""
 
     def __init__(self, items: list[tuple[int, str | None]], shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS) -> None:
         self.shingle, self.threshold, self.radius = shingle, threshold, radius
         told = [(i, w) for i, t in items if (w := words_of(t))]
         self.place = {w: n for n, w in enumerate(dict.fromkeys(w for _, words in told for w in words), 1)}
         self.hash = np.array([0, *map(_word_hash, self.place)], np.uint64)
-        by_length: dict[int, list[tuple[int, list[str]]]] = {}
-        for i, words in told:
-            by_length.setdefault(len(words), []).append((i, words))
         known: dict[int, list[np.ndarray]] = {}
-        self.groups = []
-        for length, members in sorted(by_length.items()):
-            k = min(shingle, length)
-            grams = [_grams(np.array(list(map(_word_hash, w)), np.uint64), k) for _, w in members]
-            known.setdefault(k, []).extend(grams)
-            codes = np.concatenate([_fingerprints(g, np.array([0]), np.array([len(g)])) for g in grams])
-            self.groups.append((length, k, [i for i, _ in members], [Counter(_tuples(w, k)) for _, w in members], MultiIndex(codes, SEGMENTS)))
+        self.names, self.counts, codes = [i for i, _ in told], [], []
+        for _, words in told:
+            k = min(shingle, len(words))
+            grams = _grams(np.array(list(map(_word_hash, words)), np.uint64), k)
+            known.setdefault(k, []).append(grams)
+            codes.append(_fingerprints(grams, np.array([0]), np.array([len(grams)])))
+            self.counts.append(Counter(_tuples(words, k)))
+        self.lengths = np.array([len(w) for _, w in told], np.int64)
+        self.groups = [(n, min(shingle, n)) for n in np.unique(self.lengths).tolist()]
+        self.index = MultiIndex(np.concatenate([np.empty(0, np.uint64), *codes]), SEGMENTS)
         self.known = {k: np.unique(np.concatenate(g)) for k, g in known.items()}
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
@@ -96,7 +98,8 @@ class Benchmark:
             return []
         best: dict[int, tuple[float, int, int, int]] = {}
         hashes = None
-        for length, k, names, counts, index in self.groups:
+        names, counts = self.names, self.counts
+        for length, k in self.groups:
             if k not in anchors:
                 continue
             size = min(length, len(words)) - k + 1  # grams of a window
@@ -113,12 +116,13 @@ class Benchmark:
             for part in np.split(begin, np.flatnonzero(np.diff(begin) > 4 * size) + 1):
                 first = int(part[0])
                 grams = _grams(hashes[first : int(part[-1]) + size + k - 1], k)
-                for at, code in zip(part.tolist(), _fingerprints(grams, part - first, part - first + size).tolist(), strict=True):
-                    places, distances = index.within(code, self.radius)
-                    if not len(places):
-                        continue
+                which, places, distances = self.index.within(_fingerprints(grams, part - first, part - first + size), self.radius)
+                own = self.lengths[places] == length
+                which, places, distances = which[own], places[own], distances[own]
+                for w in np.unique(which).tolist():
+                    at = int(part[w])
                     window = Counter(_tuples(words[at : at + size + k - 1], k))
-                    for p, d in zip(places.tolist(), distances.tolist(), strict=True):
+                    for p, d in zip(places[which == w].tolist(), distances[which == w].tolist(), strict=True):
                         shared = sum((window & counts[p]).values())
                         similarity = shared / (size + counts[p].total() - shared)
                         if similarity >= self.threshold and (names[p] not in best or (similarity, -at) > (best[names[p]][0], -best[names[p]][1])):
@@ -189,9 +193,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         return run
 
-    out = None
+    out, several = None, False
     for block in blocks(benchmark, item_col, item_text, chars):
-        part = given.mapInArrow(scan(docs.sparkSession.sparkContext.broadcast(Benchmark(block))), schema)
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block))
+        part = given.mapInArrow(scan(shared), schema)
+        if several := several or sum(len(t or "") for _, t in block) >= chars:  # there may be more: this block is done with before the next one is made
+            part = cut(part)
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -200,19 +208,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs, all columns, without the rows in which an item is found."""
-    kept = docs.columns
+    """docs, all columns, without the rows in which an item is found.
 
-    def scan(shared):
+    A benchmark of one block filters in one narrow pass.  One of more blocks takes a pass for each, which notes the rows to drop by hashes of
+    their texts, and drops them in a join at the end, so no two blocks are held at once.
+    """
+    kept, (text, digest) = docs.columns, free(docs.columns, "text", "digest")
+    taken = iter(blocks(benchmark, item_col, item_text, chars))
+    block, more = next(taken, None), next(taken, None)
+    if block is None:
+        return docs
+    own = F.col(f"`{text_col}`").cast("string")
+
+    def scan(shared, found: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(b.num_columns - 1)
-                yield b.select(range(b.num_columns - 1)).filter(pa.array([not shared.value.matches(t.as_py()) for t in texts], pa.bool_()))
+                hit = pa.array([bool(shared.value.matches(t.as_py())) for t in b.column(b.num_columns - 1)], pa.bool_())
+                yield b.select(range(b.num_columns - 1)).filter(hit if found else pc.invert(hit))
 
         return run
 
-    out = docs
-    for block in blocks(benchmark, item_col, item_text, chars):
+    if more is None:
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block))
-        out = out.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias(free(kept, "text")[0])).mapInArrow(scan(shared), docs.schema)
-    return out
+        return docs.select(*(F.col(f"`{c}`") for c in kept), own.alias(text)).mapInArrow(scan(shared, False), docs.schema)
+    named, gone = docs.select(F.sha2(own.cast("binary"), 256).alias(digest), own.alias(text)), None
+    for part in chain([block, more], taken):
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(part))
+        hits = cut(named.mapInArrow(scan(shared, True), f"`{digest}` string").distinct())
+        shared.unpersist()
+        gone = hits if gone is None else gone.unionByName(hits)
+    marked = docs.withColumn(digest, F.sha2(own.cast("binary"), 256))
+    return marked.join(gone.distinct(), digest, "left_anti").select(*(F.col(f"`{c}`") for c in kept))

@@ -2,7 +2,8 @@
 
 Vectors become 64-bit sign codes; equal codes are one class with its k smallest ids.  Classes and the
 queries' codes are dealt to blocks, and each cell (a block of classes, a block of queries) is searched by its own
-multi-index, growing segment radii until the k-th verified distance is provably covered.  The
+multi-index, growing segment radii until the k-th verified distance is provably covered.  A query is searched in its own
+block first; the k-th distance there bounds it in all others, which return only what is no farther.  The
 cells' lists, k entries a query at most, are merged by rank.
 """
 
@@ -11,21 +12,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.llm.common import cut
+from veil.llm.common import cut, partitions
 from veil.llm.hamming import MultiIndex
 
 BITS = 64
 #: Classes and query codes of one cell; both bound a task's memory, whatever the table's size.
-CLASSES, QUERIES = 16_384, 4_096
+CLASSES, QUERIES = 1 << 16, 1 << 16
 
 
 def sign_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, code): bit i tells whether the components i, i + 64, ... add up to more than 0.
 
-    Of 64 components these are their signs.  Null components count as 0, missing ones too; a null vector has no code and no row.
+    Of 64 components these are their signs; of more, the sums fold the vector into 64 signs, which is a coarser code.  Null components count as 0, missing ones too; a null vector has no code and no row.
     """
 
     def run(batches):
@@ -52,29 +53,41 @@ def search(df: DataFrame, k: int = 10, every: int = 50, id_col: str = "vec_id",
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     classes = codes.withColumn("r", nth).where(F.col("r") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asked = codes.where(F.col("id") % every == 0)
-    queries = asked.select("code").distinct()
+    queries = cut(asked.select(F.col("code").alias("code")).distinct())  # an alias, or else both sides of a cell have the same column
     row_blocks = -(-codes.select("code").distinct().count() // CLASSES) or 1
-    query_blocks = -(-queries.count() // QUERIES) or 1
+    parts = partitions(df.sparkSession)
+    query_blocks = max(-(-queries.count() // QUERIES), -(-parts // row_blocks))  # a cell for every partition at least
 
-    def deal(x: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        placed = x.withColumn(own, F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    def placed(x: DataFrame, own: str, blocks: int) -> DataFrame:
+        return x.withColumn(own, F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
 
-    left = deal(classes, "x", row_blocks, "y", query_blocks).groupBy("x", "y")
-    right = deal(queries, "y", query_blocks, "x", row_blocks).groupBy("x", "y")
+    def everywhere(other: str, others: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+
+    def searched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Lists of the cells; given numbers of partitions keep them apart, where small ones would be coalesced into one task."""
+        left, right = (x.repartition(parts, "x", "y").groupBy("x", "y") for x in (rows, wanted))
+        return left.cogroup(right).applyInPandas(cell, "code long, distance long, id long")
 
     def cell(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(rows) and len(wanted):
             index = MultiIndex(rows["code"].to_numpy(np.int64).view(np.uint64))
             ids = rows["ids"].to_numpy()
-            for code in wanted["code"].to_numpy(np.int64):
-                at, distance = index.nearest(int(np.uint64(code.view(np.uint64))), k)
+            for code, bound in zip(wanted["code"].to_numpy(np.int64), wanted["bound"].tolist(), strict=True):
+                at, distance = index.nearest(int(np.uint64(code.view(np.uint64))), k, bound)
                 near = sorted((int(d), int(i)) for p, d in zip(at, distance, strict=True) for i in ids[p])[:k]
                 found += [(int(code), d, i) for d, i in near]
         return pd.DataFrame(found, columns=["code", "distance", "id"]).astype("int64")
 
-    lists = left.cogroup(right).applyInPandas(cell, "code long, distance long, id long")
+    left = placed(classes, "x", row_blocks).select("*", everywhere("y", query_blocks))
+    right = placed(placed(queries, "x", row_blocks), "salt", row_blocks * query_blocks).withColumn("y", (F.col("salt") / row_blocks).cast("int")).drop("salt")
+    lists = searched(left, right.withColumn("bound", F.lit(BITS)))
+    if row_blocks > 1:
+        lists = cut(lists)
+        kth = lists.groupBy("code").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(BITS).cast("int").alias("bound"))
+        others = right.withColumnRenamed("x", "own").join(kth, "code").select("code", "bound", "y", "own", everywhere("x", row_blocks)).where("x <> own").drop("own")
+        lists = lists.unionByName(searched(left, others))
     best = F.row_number().over(Window.partitionBy("code").orderBy("distance", "id"))
     merged = lists.withColumn("rank", best).where(F.col("rank") <= k)
     return asked.withColumnRenamed("id", "query_id").join(merged, "code").select("query_id", "rank", F.col("id").alias(id_col), F.col("distance").cast("int").alias("distance"))
