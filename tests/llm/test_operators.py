@@ -162,12 +162,13 @@ def key(r):
     return (r[0] is None, r[0] or 0, *r[1:])
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_suffix_dedup(spark, monkeypatch, seed):
     rng = random.Random(seed)
     n, alphabet = rng.choice([(8, "ab"), (20, "abcdefgh"), (50, " é日a")])
     monkeypatch.setattr(suffix_dedup, "BATCH", rng.choice([3, 40]))
     monkeypatch.setattr(suffix_dedup, "PIECE", rng.choice([64, 1 << 20]))
+    monkeypatch.setattr(suffix_dedup, "HOT", (2, 7, 4000)[seed % 3])
     base = ["".join(rng.choices(alphabet, k=rng.randint(0, 150))) for _ in range(20)]
     rows = [(i, "".join(x[(a := rng.randint(0, len(x))) : a + rng.randint(0, 90)] for x in rng.choices(base, k=rng.randint(0, 3))) + "a" * rng.choice([0, 0, 50])) for i in range(90)]
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(table(spark, rows), n).collect()), key=key)
@@ -183,6 +184,28 @@ def test_suffix_dedup_edges(awkward, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_their_own(spark):
+    rng = random.Random(18)
+    shared = "".join(rng.choices("abcdefgh", k=250))
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    rows = [(None, noise(300) + shared), (None, noise(900)), (None, noise(400)), (7, shared + noise(40)), (7, noise(700)), (8, noise(250)), (8, None), (-(2**63), noise(450) + shared)]
+    rows += [(9, rows[5][1]), (5, noise(300))]
+    rows += [rows[-1]]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()), key=key)
+    want = sorted(without_repeats(rows, 200), key=key)
+    assert got == want and sum(r[2] > 0 for r in want) == 7
+
+
+def test_one_head_before_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 30)
+    rng = random.Random(19)
+    head = "".join(rng.choices("abcdefgh ", k=300))
+    rows = [(i, head[rng.randrange(60) :] + "".join(rng.choices("abcdefghijklm", k=rng.randint(0, 200)))) for i in range(120)]
+    rows += [(200 + i, head[i:] + rows[i][1][-50:]) for i in range(20)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()), key=key)
+    assert got == sorted(without_repeats(rows, 200), key=key)
+
+
 def test_sorter_survives_collisions(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_BYTE", np.ones(256, np.uint64))  # now all strings of a length collide
     s = suffix_dedup.SuffixSorter(b"abcdabcdabce", 4)

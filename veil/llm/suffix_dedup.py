@@ -3,7 +3,8 @@
 The suffixes of a corpus do not fit into one array, so they are dealt to groups first.  The anchor of a window of `length` bytes is
 its gram of least hash; equal windows have equal anchors at equal places, so a group holds the windows
 of one anchor, as runs of windows that follow one another.  Runs whose anchor occurs once drop out,
-and runs alike from end to end are collapsed to one member and its count.  Within a group the suffixes are
+and runs alike from end to end (by 128 bits of their bytes' digest and 64 of the anchor's) are collapsed to one member and its count.  Anchors with
+very many different runs are counted window by window, by 128-bit digests.  Within every other group the suffixes are
 sorted: prefix polynomial hashes give any substring's hash, a binary search over them the common extension of two suffixes, so a comparison
 in the mergesort takes logarithmic time.  Neighbours that agree over the whole length are repeats; their bytes are
 compared once more, in case hashes collided.
@@ -11,12 +12,12 @@ compared once more, in case hashes collided.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.llm.common import cut, partitions
@@ -26,6 +27,8 @@ LENGTH = 200
 PIECE = 1 << 20
 #: Contexts that are sorted at a time, unless one group has more.
 BATCH = 4000
+#: Different runs of one anchor that are sorted; the windows of more than that are counted, which no one task has to do.
+HOT = 4000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,10 +73,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def runs_of(data: bytes, sizes: list[int], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor in texts that stand one after the other in data.
 
-    (first window, windows, anchor's place after the first, anchor's hash, digest of the run's bytes), places from data's start.
+    (first window, windows, anchor's place after the first, anchor's hash, digest of the run's bytes in two halves), places from data's start.
     """
     n, k = len(data), gram_size(length)
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+    none = (np.empty(0, np.int64),) * 6
     if n < length:
         return none
     valid = np.zeros(n - length + 2, np.int8)
@@ -102,16 +105,20 @@ def runs_of(data: bytes, sizes: list[int], length: int = LENGTH) -> tuple[np.nda
     first = at[new]
     count = np.diff(np.r_[np.flatnonzero(new), len(at)])
     where = anchor[first]
-    digest = xxhash.xxh3_64_intdigest
-    view = memoryview(data)
-    told = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + (length - 1)).tolist(), strict=True)), np.uint64, len(first))
-    return first, count, where - first, gram[where].view(np.int64), told.view(np.int64)
+    told = digests(memoryview(data), zip(first.tolist(), (first + count + (length - 1)).tolist(), strict=True))
+    return first, count, where - first, gram[where].view(np.int64), told[:, 0], told[:, 1]
 
 
-def _pieces(ids: list, texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[int], bytes]]:
-    """(ids, offsets, sizes, data): texts joined up to PIECE bytes; longer ones cut, each window in one piece."""
+def digests(view: memoryview, spans: Iterable[tuple[int, int]]) -> np.ndarray:
+    """128-bit digests of the spans' bytes, as two columns."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in spans]), "<i8").reshape(-1, 2)
+
+
+def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[int], bytes]]:
+    """(rows, offsets, sizes, data): texts joined up to PIECE bytes; longer ones cut, each window in one piece."""
     names, offsets, sizes, parts, total = [], [], [], [], 0
-    for i, t in zip(ids, texts, strict=True):
+    for i, t in enumerate(texts):
         for at in range(0, max(len(t) - length + 1, 0), PIECE):
             part = t[at : at + PIECE + length - 1]
             if total and total + len(part) > PIECE:
@@ -127,20 +134,22 @@ def _pieces(ids: list, texts: list[bytes], length: int) -> Iterator[tuple[list[i
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """(h, k, id, place) of every run; place packs first window, windows - 1 and the anchor's place after the first."""
+    """(h, k, k2, id, th, place) of every run; place packs first window, windows - 1 and the anchor's place after the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                for ids, offsets, sizes, data in _pieces(part.column(0).to_pylist(), part.column(1).to_pylist(), length):
-                    first, count, rel, h, k = runs_of(data, sizes, length)
+                ids, hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
+                for rows, offsets, sizes, data in _pieces(part.column(2).to_pylist(), length):
+                    first, count, rel, h, k, k2 = runs_of(data, sizes, length)
                     begin = np.r_[0, np.cumsum(sizes)[:-1]]
                     which = np.searchsorted(begin, first, side="right") - 1
                     place = (first - begin[which] + np.array(offsets)[which]) << 16 | (count - 1) << 8 | rel
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, k, np.array(ids, np.int64)[which], place)], ["h", "k", "id", "place"])
+                    row = np.array(rows, np.int64)[which]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, k, k2, ids[row], hashes[row], place)], ["h", "k", "k2", "id", "th", "place"])
 
-    return docs.mapInArrow(run, "h long, k long, id long, place long")
+    return docs.select("id", "th", "raw").mapInArrow(run, "h long, k long, k2 long, id long, th long, place long")
 
 
 # -- sorting ----------------------------------------------------------------------------------
@@ -229,7 +238,7 @@ def _partial(length: int):
 
     def spans(t: pa.Table) -> pa.RecordBatch:
         group = np.r_[0, np.cumsum((np.diff(t.column("h").to_numpy()) != 0) | (np.diff(t.column("sub").to_numpy()) != 0))]
-        m, ids, first, rel = (t.column(c).to_numpy() for c in ("m", "id", "first", "rel"))
+        m, ids, hashes, first, rel = (t.column(c).to_numpy() for c in ("m", "id", "th", "first", "rel"))
         content = t.column("content").to_pylist()
         sizes = np.array([len(c) for c in content])
         begin = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -245,11 +254,11 @@ def _partial(length: int):
         hit &= m[owner] == 1
         at = np.flatnonzero(hit)
         if not len(at):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["id", "s", "e"])
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["id", "th", "s", "e"])
         new = np.r_[True, np.diff(at) > 1] | np.r_[True, np.diff(owner[at]) != 0]
         last = np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]
         o, s, e = owner[at[new]], shift[at[new]], shift[at[last]] + length
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[o], first[o] + s, first[o] + e)], ["id", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[o], hashes[o], first[o] + s, first[o] + e)], ["id", "th", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -289,58 +298,88 @@ def _contexts(length: int):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 rows = []
-                for i, t, todo in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True):
+                for i, th, t, todo in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True):
                     for x in todo:
                         at, n, rel = x["place"] >> 16, (x["place"] >> 8 & 255) + 1, x["place"] & 255
                         a = at + rel  # the anchor
                         left = min(n, rel - half + 1)  # windows that begin at least half before it
                         if left > 0:
-                            rows.append((x["h"], xxhash.xxh3_64_intdigest(t[a - half : a]) >> 1, x["m"], i, at, rel, t[at : at + left - 1 + length]))
+                            rows.append((x["h"], xxhash.xxh3_64_intdigest(t[a - half : a]) >> 1, x["m"], i, th, at, rel, t[at : at + left - 1 + length]))
                         skip = max(left, 0)
                         if skip < n:
                             tail = length - k - half
-                            rows.append((x["h"], -1 - (xxhash.xxh3_64_intdigest(t[a + k : a + k + tail]) >> 1), x["m"], i, at + skip, rel - skip, t[at + skip : at + n - 1 + length]))
+                            rows.append((x["h"], -1 - (xxhash.xxh3_64_intdigest(t[a + k : a + k + tail]) >> 1), x["m"], i, th, at + skip, rel - skip, t[at + skip : at + n - 1 + length]))
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "sub", "m", "id", "first", "rel", "content"])
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "sub", "m", "id", "th", "first", "rel", "content"])
+
+    return run
+
+
+def _windows(length: int):
+    """(a, b, m, id, th, s): digest and place of every window of hot anchors' runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, th, t, todo in zip(*b.columns, strict=True):
+                view = memoryview(t.as_buffer())
+                for x in todo.as_py():
+                    at, n = x["place"] >> 16, (x["place"] >> 8 & 255) + 1
+                    told = digests(view, ((p, p + length) for p in range(at, at + n)))
+                    yield pa.RecordBatch.from_arrays([pa.array(told[:, 0]), pa.array(told[:, 1]), pa.array([x["m"]] * n, pa.int32()), pa.array([i.as_py()] * n, pa.int64()), pa.array([th.as_py()] * n, pa.int64()), pa.array(np.arange(at, at + n))], ["a", "b", "m", "id", "th", "s"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, s, e): byte spans of the texts, overlapping and in any order, that are covered by repeated strings.
+    """(id, th, s, e): byte spans of the texts (id, th, raw), overlapping and in any order, that are covered by repeated strings.
 
     Runs are hashed twice, to find the anchors that repeat and to fetch their runs.  What is aggregated is checkpointed, so a join with
     it shuffles both sides and AQE can split a frequent anchor's runs.
     """
     found = _runs(docs, length)
-    anchors = cut(found.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed")))
+    differ = (F.min("k") != F.max("k")) | (F.min("k2") != F.max("k2"))
+    anchors = cut(found.groupBy("h").agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1").select("h", "mixed"))
     shared = cut(found.join(anchors, "h"))
     span = lambda place: ((F.shiftright(place, 16)).alias("s"), (F.shiftright(place, 16) + F.shiftright(place, 8).bitwiseAND(F.lit(255)) + length).alias("e"))
-    alike = shared.where("not mixed").select("id", *span(F.col("place")))
-    mixed = shared.where("mixed").select("h", "k", "id", "place")
-    members = cut(mixed.groupBy("h", "k").agg(F.count("*").alias("m"), F.min(F.struct("id", "place")).alias("one")))
-    several = mixed.join(members.where("m > 1").select("h", "k"), ["h", "k"]).select("id", *span(F.col("place")))
-    todo = members.select(F.col("one.id").alias("_id"), F.struct("h", F.least("m", F.lit(2)).cast("int").alias("m"), F.col("one.place").alias("place")).alias("x")).groupBy("_id").agg(F.collect_list("x").alias("todo"))
-    texts = dealt.join(todo.hint("shuffle_hash"), dealt["id"] == todo["_id"]).select("id", "raw", "todo")
-    contexts = texts.mapInArrow(_contexts(length), "h long, sub long, m int, id long, first long, rel int, content binary")
+    alike = shared.where("not mixed").select("id", "th", *span(F.col("place")))
+    mixed = shared.where("mixed").drop("mixed")
+    members = cut(mixed.groupBy("h", "k", "k2").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "place")).alias("one")))
+    several = mixed.join(members.where("m > 1").select("h", "k", "k2"), ["h", "k", "k2"]).select("id", "th", *span(F.col("place")))
+    hot = cut(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
+    some_hot = not hot.isEmpty()
+
+    def texts_of(own: DataFrame) -> DataFrame:
+        """(id, th, raw, todo): texts with their runs in question."""
+        todo = own.select(F.col("one.id").alias("_id"), F.col("one.th").alias("_th"), F.struct("h", F.least("m", F.lit(2)).cast("int").alias("m"), F.col("one.place").alias("place")).alias("x")).groupBy("_id", "_th").agg(F.collect_list("x").alias("todo"))
+        return dealt.join(todo.hint("shuffle_hash"), (dealt["id"] == todo["_id"]) & (dealt["th"] == todo["_th"])).select("id", "th", "raw", "todo")
+
+    contexts = texts_of(members.join(hot, "h", "left_anti") if some_hot else members).mapInArrow(_contexts(length), "h long, sub long, m int, id long, th long, first long, rel int, content binary")
     sorted_ = contexts.repartition(partitions(docs.sparkSession), "h", "sub").sortWithinPartitions("h", "sub")
-    partly = sorted_.mapInArrow(_partial(length), "id long, s long, e long")
-    return alike.unionByName(several).unionByName(partly)
+    out = alike.unionByName(several).unionByName(sorted_.mapInArrow(_partial(length), "id long, th long, s long, e long"))
+    if some_hot:
+        windows = texts_of(members.join(hot, "h", "left_semi")).mapInArrow(_windows(length), "a long, b long, m int, id long, th long, s long")
+        counted = cut(windows.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b"))
+        order = Window.partitionBy("id", "th").orderBy("s")
+        hits = windows.where("m = 1").join(counted, ["a", "b"]).select("id", "th", "s").distinct()
+        islands = hits.withColumn("new", F.coalesce((F.col("s") > F.lag("s").over(order) + 1).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
+        out = out.unionByName(islands.groupBy("id", "th", "island").agg(F.min("s").alias("s"), (F.max("s") + length).alias("e")).drop("island"))
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): every whole text, as bytes, without what a repeated string covers.
 
     A string of `length` bytes is repeated if it starts anywhere else, in the same text too; strings are judged
-    on the input.  Matches never cross texts.  A null text counts as empty; texts shorter than length keep all.  Ids name the
-    documents: rows that share one (null included) are taken for copies, each loses its spans.  Other columns are ignored; an empty
-    table gives none.  Texts are shuffled once, for both joins that need them.
+    on the input.  Matches never cross texts.  A null text counts as empty; texts shorter than length keep all.  A row is known by its id and
+    a hash of its text (one with a null id by two hashes), so rows that share an id but not their text are rows of their own, and copies of one row are repeats of
+    one another.  Other columns are ignored; an empty table gives none.  Texts are shuffled once, for both joins that need them.
     """
-    own = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("raw"))
-    dealt = own.repartition(partitions(docs.sparkSession), "id")
-    spans = repeated_spans(own, dealt, length).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans")).withColumnRenamed("id", "_id")
-    both = dealt.join(spans.hint("shuffle_hash"), dealt["id"] == spans["_id"], "left").select("id", "raw", "spans")
+    given = docs.select(F.col(id_col).cast("bigint").alias("own"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("raw"))
+    own = given.select("own", F.coalesce("own", F.xxhash64(F.lit(7), "raw")).alias("id"), F.xxhash64(F.lit(5), "raw").alias("th"), "raw")
+    dealt = own.repartition(partitions(docs.sparkSession), "id", "th")
+    spans = repeated_spans(own, dealt, length).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"id": "_id", "th": "_th"})
+    both = dealt.join(spans.hint("shuffle_hash"), (dealt["id"] == spans["_id"]) & (dealt["th"] == spans["_th"]), "left").select("own", "raw", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -353,7 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                         kept.append(t[at:s])
                         at, n = e, n + 1
                     rest = b"".join([*kept, t[at:]])
-                    rows.append((None if i == -(2**63) else i, len(t), len(t) - len(rest), n, rest))
+                    rows.append((i, len(t), len(t) - len(rest), n, rest))
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
