@@ -230,6 +230,31 @@ def test_close_lanes():
             assert sorted(zip(lane.tolist(), distance.tolist(), strict=True)) == [(i, x) for i, x in enumerate(d.tolist()) if x <= radius]
 
 
+def test_bucket_links(monkeypatch):
+    monkeypatch.setattr(simhash, "WORDS", 3)
+    rng = np.random.default_rng(20)
+    for _ in range(20):
+        sizes = rng.choice([1, 2, 3, 5, 40, 150], 12).tolist()
+        n = sum(sizes)
+        fps = rng.integers(0, 256, (8, 8), dtype=np.uint8)[rng.integers(0, 8, n)]
+        fps[np.arange(n), rng.integers(0, 8, n)] ^= np.uint8(1) << rng.integers(0, 8, n, dtype=np.uint8)
+        side = np.concatenate([rng.integers(0, 2, k) if rng.random() < 0.4 else np.full(k, 2) for k in sizes])
+        a, b, distance = simhash.bucket_links(np.arange(n), fps, np.repeat(sizes, sizes), side, 2)
+        assert [int(np.bitwise_count(fps[x] ^ fps[y]).sum()) for x, y in zip(a, b, strict=True)] == distance.tolist()
+        want, at = [], 0
+        for k in sizes:
+            want += [(i, j) for i, j in itertools.combinations(range(at, at + k), 2) if (side[i] == 2 or side[i] != side[j]) and np.bitwise_count(fps[i] ^ fps[j]).sum() <= 2]
+            at += k
+        parts = []
+        for pairs in (zip(a.tolist(), b.tolist(), strict=True), want):
+            root = list(range(n))
+            for x, y in pairs:
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+            parts.append(root)
+        assert parts[0] == parts[1]
+
+
 def test_simhash(spark, awkward, empty, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 4)
     rng = random.Random(4)

@@ -21,6 +21,8 @@ from veil.llm.common import connected_components, cut
 
 #: A bucket with more members than this is split into a grid of cells that are compared apart.
 CELL = 4096
+#: Words of 64 comparisons that are counted at a time.
+WORDS = 4096
 #: Differing planes that are added up before hopeless blocks are given up.
 STRIDE = 16
 
@@ -86,31 +88,35 @@ def _transpose(fps: np.ndarray) -> np.ndarray:
 
 
 def close_lanes(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i whose fingerprints left[i] and right[i] are at most radius bits apart, and those distances.
+    """Rows i whose fingerprints left[i] and right[i] are at most radius bits apart, and those distances."""
+    lane, distance = counted(_transpose(left) ^ _transpose(right), radius)
+    inside = lane < len(left)
+    return lane[inside], distance[inside]
 
-    Works on vertical planes: the XOR of each plane pair is rippled through carry-save counters with
-    one word for each binary digit of the count; every STRIDE planes, words whose 64 lanes all exceed the radius are dropped.
+
+def counted(differ: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes of the (bits, words) planes of differing bits with at most radius of them, and how many.
+
+    Each plane is rippled through carry-save counters with one word for each binary digit of the count; every STRIDE planes, words whose
+    64 lanes all exceed the radius are dropped.
     """
-    n, width = left.shape
-    a, b = _transpose(left), _transpose(right)
-    words = np.arange(a.shape[1])
-    digits = [np.zeros(len(words), np.uint64) for _ in range((width * 8).bit_length())]
-    for at in range(0, width * 8, STRIDE):
-        for p in range(at, min(at + STRIDE, width * 8)):
-            carry = a[p] ^ b[p]
+    bits = len(differ)
+    words = np.arange(differ.shape[1])
+    digits = [np.zeros(len(words), np.uint64) for _ in range(bits.bit_length())]
+    for at in range(0, bits, STRIDE):
+        for p in range(at, min(at + STRIDE, bits)):
+            carry = differ[p]
             for k, d in enumerate(digits[: (p + 1).bit_length()]):
                 digits[k], carry = d ^ carry, d & carry
-        over = _exceeds(digits, radius)
-        live = over != np.uint64(0xFFFFFFFFFFFFFFFF)
+        live = _exceeds(digits, radius) != np.uint64(0xFFFFFFFFFFFFFFFF)
         if not live.all():
-            words, digits, a, b = words[live], [d[live] for d in digits], a[:, live], b[:, live]
+            words, digits, differ = words[live], [d[live] for d in digits], differ[:, live]
         if not len(words):
             return np.empty(0, np.int64), np.empty(0, np.int64)
     planes = [np.unpackbits(d.view(np.uint8), bitorder="little").astype(np.int64) for d in digits]
     distance = sum(x << k for k, x in enumerate(planes))
-    lane = (words[:, None] * 64 + np.arange(64)).ravel()
-    near = (distance <= radius) & (lane < n)
-    return lane[near], distance[near]
+    near = distance <= radius
+    return (words[:, None] * 64 + np.arange(64)).ravel()[near], distance[near]
 
 
 def _exceeds(digits: list[np.ndarray], radius: int) -> np.ndarray:
@@ -145,35 +151,60 @@ def _forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
 def bucket_links(node: np.ndarray, fps: np.ndarray, size: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links inside buckets that lie one after the other; size has each row's bucket size.
 
-    Shift d compares row i with row i + d of its bucket, for all buckets at once.  In a cell of two
+    Fingerprints stand in planes once, buckets of about one size together.  Shift d of the planes compares row i with row i + d of its bucket, for
+    all of these buckets at once, and many shifts are counted at a time.  In a cell of two
     groups (side 0 and 1) only pairs across are compared; side 2 is a whole bucket.  A spanning forest of the links is
     returned: it joins what the links join, in rows that grow with the bucket and not with its square.
     """
-    place = np.zeros(len(node), np.int64)
-    at = 0
-    while at < len(node):
-        place[at : at + size[at]] = np.arange(size[at])
-        at += int(size[at])
+    first = np.flatnonzero(np.r_[True, _bucket_starts(size)])
+    place = np.arange(len(size)) - np.repeat(first, size[first])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
-    live = np.flatnonzero(size > 1)
-    d = 1
-    while len(live := live[place[live] + d < size[live]]):
-        left = live
-        across = (side[left] == 2) | (side[left] != side[left + d])
-        left = left[across]
-        for k in range(0, len(left), 1 << 16):
-            i = left[k : k + (1 << 16)]
-            lane, distance = close_lanes(fps[i], fps[i + d], radius)
-            if len(lane):
-                out.append((node[i[lane]], node[i[lane] + d], distance))
-                held += len(lane)
-        if held > 1 << 19:
-            out, held = [_thin(out)], 0
-        d += 1
+    for kind in np.unique(np.frexp(size[size > 1])[1]).tolist():
+        rows = np.flatnonzero((size > 1) & (np.frexp(size)[1] == kind))
+        own_place, own_size, own_side = place[rows], size[rows], side[rows]
+        most = int(own_size.max())
+        planes = _transpose(fps[rows])
+        planes = np.concatenate([planes, np.zeros((len(planes), most // 64 + 2), np.uint64)], axis=1)
+        waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for d in range(1, most):
+            live = np.flatnonzero(own_place + d < own_size)
+            live = live[(own_side[live] == 2) | (own_side[live] != own_side[live + d])]
+            if len(live):
+                words = np.unique(live >> 6)
+                waiting.append((d, words, planes[:, words] ^ _shifted(planes, words, d)))
+            if waiting and (d == most - 1 or sum(len(w) for _, w, _ in waiting) >= WORDS):
+                lane, distance = counted(np.concatenate([x for _, _, x in waiting], axis=1), radius)
+                shift = np.repeat([s for s, _, _ in waiting], [len(w) for _, w, _ in waiting])[lane >> 6]
+                i = np.concatenate([w for _, w, _ in waiting])[lane >> 6] * 64 + (lane & 63)
+                waiting = []
+                inside = np.flatnonzero(i < len(rows))
+                inside = inside[own_place[i[inside]] + shift[inside] < own_size[i[inside]]]
+                i, shift, distance = i[inside], shift[inside], distance[inside]
+                across = (own_side[i] == 2) | (own_side[i] != own_side[i + shift])
+                if across.any():
+                    out.append((node[rows[i[across]]], node[rows[(i + shift)[across]]], distance[across]))
+                    held += int(across.sum())
+            if held > 1 << 19:
+                out, held = [_thin(out)], 0
     return _thin(out) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _bucket_starts(size: np.ndarray) -> np.ndarray:
+    """For every row but the first whether a bucket begins there."""
+    new, at = np.zeros(len(size), bool), 0
+    while at < len(size):
+        new[at] = True
+        at += int(size[at])
+    return new[1:]
+
+
+def _shifted(planes: np.ndarray, words: np.ndarray, d: int) -> np.ndarray:
+    """The given words of the planes as they are d lanes on."""
+    at, bit = words + d // 64, np.uint64(d % 64)
+    return planes[:, at] >> bit | planes[:, at + 1] << (np.uint64(64) - bit) if bit else planes[:, at]
+
+
 def _thin(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True))
     keep = _forest(a, b, c)
