@@ -2,8 +2,8 @@
 
 Every window of an item's length (in words) gets a 64-bit SimHash of its five-word shingles; one
 multi-index over the fingerprints of all items, whatever their lengths, yields those within the radius; the weighted Jaccard similarity of the
-shingles, repeats counted, then decides.  A window is fingerprinted only if it holds as many of
-the benchmark's shingles as a similarity of the threshold needs, which leaves no match out.
+shingles, repeats counted, then decides.  A window is fingerprinted only if it holds as many shingles of
+items of its length as a similarity of the threshold needs, which leaves no match out.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from veil.llm.hamming import MultiIndex
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 fingerprints differ in 9.7 of 64 bits on average with a deviation of 2.9, and less above it: 19 is three deviations on.
-#: Of 4 segments one then differs in 4 of 16 bits at most, which six in seven of unlike codes fail in all four.
-RADIUS, SEGMENTS = 19, 4
+#: Of 5 segments one then differs in 3 of 13 bits at most, which three in four of unlike codes fail in all of them.
+RADIUS, SEGMENTS = 19, 5
 #: The benchmark is taken in blocks of so many characters; each is one broadcast and one pass over the documents.
 BLOCK_CHARS = 8_000_000
 
@@ -74,18 +74,28 @@ class Benchmark:
         told = [(i, w) for i, t in items if (w := words_of(t))]
         self.place = {w: n for n, w in enumerate(dict.fromkeys(w for _, words in told for w in words), 1)}
         self.hash = np.array([0, *map(_word_hash, self.place)], np.uint64)
-        known: dict[int, list[np.ndarray]] = {}
+        known: dict[int, list[tuple[np.ndarray, int]]] = {}
         self.names, self.counts, codes = [i for i, _ in told], [], []
         for _, words in told:
             k = min(shingle, len(words))
             grams = _grams(np.array(list(map(_word_hash, words)), np.uint64), k)
-            known.setdefault(k, []).append(grams)
+            known.setdefault(k, []).append((grams, len(words)))
             codes.append(_fingerprints(grams, np.array([0]), np.array([len(grams)])))
             self.counts.append(Counter(_tuples(words, k)))
         self.lengths = np.array([len(w) for _, w in told], np.int64)
-        self.groups = [(n, min(shingle, n)) for n in np.unique(self.lengths).tolist()]
         self.index = MultiIndex(np.concatenate([np.empty(0, np.uint64), *codes]), SEGMENTS)
-        self.known = {k: np.unique(np.concatenate(g)) for k, g in known.items()}
+        self.known = {k: self._table(own) for k, own in known.items()}
+
+    @staticmethod
+    def _table(own: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingles, ascending; where each one's lengths begin; lengths of the items that hold it)."""
+        grams, length = np.concatenate([g for g, _ in own]), np.repeat([n for _, n in own], [len(g) for g, _ in own])
+        order = np.lexsort((length, grams))
+        grams, length = grams[order], length[order]
+        new = np.r_[True, (np.diff(grams) != 0) | (np.diff(length) != 0)]
+        grams, length = grams[new], length[new]
+        first = np.flatnonzero(np.r_[True, np.diff(grams) != 0])
+        return grams[first], np.r_[first, len(grams)], length
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """(item, first word, words, distance, similarity): the best window for each item in a whole text."""
@@ -93,22 +103,17 @@ class Benchmark:
         if not words or not self.place:
             return []
         ids = np.fromiter(map(self.place.get, words, repeat(0)), np.int64, len(words))
-        anchors = {k: a for k in self.known if len(a := self._anchors(ids, k))}
-        if not anchors:
-            return []
         best: dict[int, tuple[float, int, int, int]] = {}
         hashes = None
         names, counts = self.names, self.counts
-        for length, k in self.groups:
-            if k not in anchors:
-                continue
+        for length, k, anchors in [(n, k, a) for k in self.known for n, a in self._anchors(ids, k)]:
             size = min(length, len(words)) - k + 1  # grams of a window
             if size < 1:
                 continue
             least = int(np.ceil(self.threshold * (size + length - k + 1) / (1 + self.threshold) - 1e-9))
             if least > size:
                 continue
-            begin = self._windows(anchors[k], size, least, len(words) - k + 1 - size)
+            begin = self._windows(anchors, size, least, len(words) - k + 1 - size)
             if not len(begin):
                 continue
             if hashes is None:
@@ -129,21 +134,30 @@ class Benchmark:
                             best[names[p]] = (similarity, at, size + k - 1, d)
         return [(i, at, n, d, s) for i, (s, at, n, d) in sorted(best.items())]
 
-    def _anchors(self, ids: np.ndarray, k: int) -> np.ndarray:
-        """Places of the document's k-word shingles that the benchmark has."""
+    def _anchors(self, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length of items the places of the document's k-word shingles that such items hold."""
         n = len(ids) - k + 1
         if n < 1:
-            return np.empty(0, np.int64)
+            return
         inside = np.r_[0, np.cumsum(ids > 0)]
         at = np.flatnonzero(inside[k:] - inside[:-k] == k)
         if not len(at):
-            return at
+            return
         value = np.zeros(len(at), np.uint64)
         for j in range(k):
             value = _mix(value + self.hash[ids[at + j]])
-        known = self.known[k]
+        known, start, lengths = self.known[k]
         found = np.minimum(np.searchsorted(known, value), len(known) - 1)
-        return at[known[found] == value]
+        held = known[found] == value
+        at, found = at[held], found[held]
+        if not len(at):
+            return
+        many = start[found + 1] - start[found]
+        end = np.cumsum(many)
+        length = lengths[np.repeat(start[found] - (end - many), many) + np.arange(int(end[-1]))]
+        place = np.repeat(at, many)
+        for x in np.unique(length).tolist():
+            yield x, place[length == x]
 
     @staticmethod
     def _windows(anchors: np.ndarray, size: int, least: int, last: int) -> np.ndarray:

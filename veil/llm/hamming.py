@@ -66,12 +66,14 @@ class MultiIndex:
     def within(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which of the given codes, place, distance) of all codes at most radius away from them.
 
-        Such a code has a segment at most radius // m away, so the segments' balls of that radius list them all.
+        Segment s is looked up as far as reach[s], and these and one more for each segment add up to radius + 1: a code that is
+        farther away in every segment is over radius away in all, so the segments' balls list every code wanted.
         """
+        reach = [(radius + 1) // self.m - 1 + (s < (radius + 1) % self.m) for s in range(self.m)]
         found = [(np.empty(0, np.int64),) * 3]
         for lo in range(0, len(codes), BATCH):
             part = codes[lo : lo + BATCH].astype(np.uint64)
-            listed = [self._listed(s, self.segment(part, s)[:, None] ^ ball(self.bits[s], radius // self.m)[None, :]) for s in range(self.m)]
+            listed = [self._listed(s, self.segment(part, s)[:, None] ^ ball(self.bits[s], r)[None, :]) for s, r in enumerate(reach) if r >= 0]
             which, at = divmod(np.unique(np.concatenate([row * len(self.codes) + place for row, place in listed])), max(len(self.codes), 1))
             d = self.distance(part[which], at)
             near = d <= radius
