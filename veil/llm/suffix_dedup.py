@@ -335,7 +335,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH) -> D
     """(id, th, s, e): byte spans of the texts (id, th, raw), overlapping and in any order, that are covered by repeated strings.
 
     Runs are hashed twice, to find the anchors that repeat and to fetch their runs.  What is aggregated is checkpointed, so a join with
-    it shuffles both sides and AQE can split a frequent anchor's runs.
+    it shuffles both sides and AQE can split a frequent anchor's runs; so is that join itself, or else the sorting would share its stage and its skew.
     """
     found = _runs(docs, length)
     differ = (F.min("k") != F.max("k")) | (F.min("k2") != F.max("k2"))
@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH) -> D
     alike = shared.where("not mixed").select("id", "th", *span(F.col("place")))
     mixed = shared.where("mixed").drop("mixed")
     members = cut(mixed.groupBy("h", "k", "k2").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "place")).alias("one")))
-    several = mixed.join(members.where("m > 1").select("h", "k", "k2"), ["h", "k", "k2"]).select("id", "th", *span(F.col("place")))
+    several = cut(mixed.join(members.where("m > 1").select("h", "k", "k2"), ["h", "k", "k2"]).select("id", "th", *span(F.col("place"))))
     hot = cut(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
     some_hot = not hot.isEmpty()
 
