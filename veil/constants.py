@@ -43,7 +43,7 @@ SHAREPOINT_URL = r"\bhttps?://[a-z0-9.-]*sharepoint\.com/(?:[^\s<>)\]]|\n)+"
 PRIVATE_IP = r"\b(?:192\.168\.\d{1,3}\.\d{1,3}|10\.0\.\d{1,3}\.\d{1,3}|172\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
 PUBLIC_IP = r"\b(?!(?:192\.168|10\.0|172\.(?:1[6-9]|2[0-9]|3[0-1]))\.\d{1,3}\.\d{1,3})(?:\d{1,3}\.){3}\d{1,3}\b"
 
-# Our own definitions, where the behaviour to match is a third-party library's.
+# Definitions where the behaviour to match is a third-party library's. The local part of EMAIL, and ` at ` and ` dot `, are its public pattern as far as that is remembered.
 EMAIL = (
     r"\b[a-z0-9!#$%&'*+/=?^_`{|}~-](?:[.a-z0-9!#$%&'*+/=?^_`{|}~-]{0,62}[a-z0-9!#$%&'*+/=?^_`{|}~-])?"
     r"(?:@|\sat\s)[a-z0-9](?:(?:[a-z0-9-]{0,62}[a-z0-9])?(?:\.|\sdot\s))+[a-z]{2,63}\b"
@@ -74,6 +74,7 @@ MODULUS = 10000
 
 #: Line ends of Python's splitlines, and the white space of its strip, for Java.
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+OTHER_LINE_ENDS = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 SPACE = "[\\s\\x1c-\\x1f]"
 
 

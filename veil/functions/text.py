@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veil.constants import LINE_ENDS, SPACE
+from veil.constants import LINE_ENDS, OTHER_LINE_ENDS, SPACE
 
 
 def let(value: Column, body) -> Column:
@@ -13,9 +13,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores before it as make it none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def splitlines(text: Column) -> Column:
-    """str.splitlines: no line after a final line end, none for an empty text."""
-    parts = F.split(text, LINE_ENDS, -1)
+    """str.splitlines: no line after a final line end, none for an empty text; texts with no line ends but line feeds are split at a plain character."""
+    parts = F.when(text.rlike(OTHER_LINE_ENDS), F.split(text, LINE_ENDS, -1)).otherwise(F.split(text, "\n", -1))
     return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 

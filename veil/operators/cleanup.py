@@ -9,12 +9,21 @@ from veil import constants as C
 from veil.functions.text import join, let, splitlines
 
 
+def _where(text: Column, condition, build) -> Column:
+    """build(text) where a cheap necessary condition holds, else the text."""
+    return let(text, lambda t: F.when(condition(t), build(t)).otherwise(t))
+
+
 def remove_unknown(text: Column) -> Column:
     """Drops UNKNOWN placeholders, leaves the text of links to them, and makes runs of blanks one space."""
-    text = F.regexp_replace(text, C.UNKNOWN_ANGLE, "")
-    text = F.regexp_replace(text, C.java(C.UNKNOWN_LINK), "$1")
-    text = F.regexp_replace(text, C.java(C.UNKNOWN_BARE), "")
-    return F.regexp_replace(text, "[ \\t]{2,}", " ")
+
+    def drop(t: Column) -> Column:
+        t = F.regexp_replace(t, C.UNKNOWN_ANGLE, "")
+        t = F.regexp_replace(t, C.java(C.UNKNOWN_LINK), "$1")
+        return F.regexp_replace(t, C.java(C.UNKNOWN_BARE), "")
+
+    dropped = _where(text, lambda t: F.contains(t, F.lit("UNKNOWN-")), drop)
+    return _where(dropped, lambda t: F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), lambda t: F.regexp_replace(t, "[ \\t]{2,}", " "))
 
 
 def collapse_gibberish(text: Column) -> Column:
@@ -25,10 +34,11 @@ def collapse_gibberish(text: Column) -> Column:
         found, between = F.regexp_extract_all(text, F.lit(block), F.lit(0)), F.split(text, block, -1)
         return F.array_join(F.transform(F.arrays_zip(between.alias("p"), F.transform(found, shorten).alias("m")), lambda z: F.concat(z["p"], F.coalesce(z["m"], F.lit("")))), "")
 
-    def collapsed(text: Column, block: str) -> Column:
-        return let(text, lambda t: F.when(t.rlike(C.GIBBERISH), inside(t, block)).otherwise(t))
+    def collapsed(text: Column, opening: str, closing: str, block: str) -> Column:
+        there = lambda t: F.contains(t, F.lit(opening)) & F.contains(t, F.lit(closing)) & t.rlike(C.GIBBERISH)
+        return _where(text, there, lambda t: inside(t, block))
 
-    return collapsed(collapsed(text, "\\[[^\\]]+\\]"), "\\([^\\)]+\\)")
+    return collapsed(collapsed(text, "[", "]", "\\[[^\\]]+\\]"), "(", ")", "\\([^\\)]+\\)")
 
 
 def dedupe_lines(text: Column) -> Column:

@@ -27,11 +27,10 @@ def custom(text: Column, rank: int, phrase: str) -> Column:
     if not needle:
         return no_spans()
     n = len(needle)
-    if any(needle[:k] == needle[-k:] for k in range(1, n)):
-        starts = F.filter(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)) == needle)
-        found = F.transform(starts, lambda i: span(i - 1, i - 1 + n, "custom", F.lit(needle), "custom", rank))
-    else:
-        found = F.transform(matches(text, re.sub(r"([^\w\s])", r"\\\1", needle)), lambda m: span(m["beg"], m["end"], "custom", m["text"], "custom", rank))
+    quoted = [re.sub(r"([^\w\s])", r"\\\1", x) for x in (needle, needle[0], needle[1:])]
+    alone = not any(needle[:k] == needle[-k:] for k in range(1, n))
+    pattern = quoted[0] if alone else f"{quoted[1]}(?={quoted[2]})"  # one that can overlap itself is found by its first character
+    found = F.transform(matches(text, pattern), lambda m: span(m["beg"], m["beg"] + n, "custom", F.lit(needle), "custom", rank))
     return guarded(F.contains(text, F.lit(needle)), found)
 
 

@@ -11,6 +11,8 @@ SPAN = "struct<beg:int,end:int,type:string,text:string,detector:string,rank:int,
 SPANS = f"array<{SPAN}>"
 #: Matches are placed in chunks, since an array that grows by one is copied each time.
 CHUNK = 64
+#: Characters of a block of a long text.
+BLOCK = 1024
 
 
 def no_spans() -> Column:
@@ -62,48 +64,93 @@ def guarded(condition: Column, spans: Column) -> Column:
     return F.when(condition, spans).otherwise(no_spans())
 
 
+def blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK characters.  A substring is counted from its text's start, so of a long one many pieces are cut out of its blocks."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def piece(parts: Column, beg: Column, size: Column) -> Column:
+    """The text of so many characters from beg, out of blocks(text)."""
+    first, last = F.floor(beg / BLOCK).cast("int"), F.floor((beg + size - 1) / BLOCK).cast("int")
+    held = F.when(first >= last, F.get(parts, first)).otherwise(F.array_join(F.slice(parts, first + 1, last - first + 1), ""))
+    return F.when(size <= 0, "").otherwise(F.substring(held, beg - first * BLOCK + 1, size))
+
+
+def _fold(items: Column, start: Column, state: str, kind: str, step, finish) -> Column:
+    """finish(state, out) after step(state, item) -> (state, array of what goes out) for every item; out grows by chunks, since it is copied each time."""
+
+    def one(s: Column, x: Column) -> Column:
+        now, new = step(s["now"], x)
+        return F.struct(now.cast(state).alias("now"), F.concat(s["out"], new.cast(f"array<{kind}>")).alias("out"))
+
+    def chunk(s: Column, c: Column) -> Column:
+        fresh = F.struct(s["now"].alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+        done = F.aggregate(F.slice(items, c * CHUNK + 1, F.lit(CHUNK)), fresh, one)
+        return let(done, lambda d: F.struct(d["now"].alias("now"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    begin = F.struct(start.cast(state).alias("now"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(chunks, begin, chunk, lambda s: finish(s["now"], F.flatten(s["out"])))
+
+
+def _by_place(a: Column, b: Column) -> Column:
+    x = F.when(a["beg"] != b["beg"], a["beg"] - b["beg"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["rank"] - b["rank"])
+    return F.when(x < 0, -1).when(x > 0, 1).otherwise(0)
+
+
 def merge(spans: Column, text: Column, touching: bool = True) -> Column:
     """Ascending spans without overlaps: overlapping ones, and touching ones if asked, become one of type unknown.
 
     A union's text is the source between its ends.
     """
+    union = lambda beg, end, own: span(beg, end, "unknown", own, "merged", -1)
 
-    def before(a: Column, b: Column) -> Column:
-        x = F.when(a["beg"] != b["beg"], a["beg"] - b["beg"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["rank"] - b["rank"])
-        return F.when(x < 0, -1).when(x > 0, 1).otherwise(0)
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
+    def step(last: Column, s: Column) -> tuple[Column, Column]:
         meets = (s["beg"] <= last["end"]) if touching else (s["beg"] < last["end"])
-        end = F.greatest(last["end"], s["end"])
-        union = span(last["beg"], end, "unknown", F.substring(text, last["beg"] + 1, end - last["beg"]), "merged", -1)
-        return F.when(F.size(done) == 0, F.array(s)).when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(union))).otherwise(F.concat(done, F.array(s)))
+        grown = union(last["beg"], F.greatest(last["end"], s["end"]), F.lit(None).cast("string"))
+        return F.when(meets, grown).otherwise(s), F.when(last.isNull() | meets, no_spans()).otherwise(F.array(last))
 
-    return F.when(F.size(spans) == 0, spans).otherwise(F.aggregate(F.array_sort(spans, before), no_spans(), step))
+    def told(merged: Column, parts: Column) -> Column:
+        return F.transform(merged, lambda s: F.when(s["text"].isNull(), union(s["beg"], s["end"], piece(parts, s["beg"], s["end"] - s["beg"]))).otherwise(s))
+
+    def whole(merged: Column) -> Column:
+        return F.when(F.exists(merged, lambda s: s["text"].isNull()), let(blocks(text), lambda parts: told(merged, parts))).otherwise(merged)
+
+    folded = let(F.array_sort(spans, _by_place), lambda x: _fold(x, F.lit(None), SPAN, SPAN, step, lambda last, out: F.concat(out, F.array(last))))
+    return F.when(F.size(spans) <= 1, spans).otherwise(let(folded, whole))
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:
     """text with every one of the ascending, disjoint spans replaced by replacement(span)."""
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, x["beg"] - s["at"])
-        return F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(F.concat(gap, replacement(x)))).alias("out"))
+    def build(parts: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, (i - 1).cast("int"))["end"])
+        each = F.transform(spans, lambda x, i: F.concat(piece(parts, before(i), x["beg"] - before(i)), replacement(x)))
+        last = F.element_at(spans, -1)["end"]
+        return F.concat(F.array_join(each, ""), piece(parts, last, F.length(text) - last))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(let(blocks(text), build))
 
 
 def longest_first(spans: Column) -> Column:
-    """Of overlapping candidates the longest, the first of equals; ascending."""
+    """Of overlapping candidates the longest, the first of equals; ascending.  Only candidates that overlap in a row are held against each other."""
 
     def order(a: Column, b: Column) -> Column:
         x = F.when(a["end"] - a["beg"] != b["end"] - b["beg"], (b["end"] - b["beg"]) - (a["end"] - a["beg"])).otherwise(a["beg"] - b["beg"])
         return F.when(x < 0, -1).when(x > 0, 1).otherwise(0)
 
     free = lambda done, s: ~F.exists(done, lambda d: (s["end"] > d["beg"]) & (s["beg"] < d["end"]))
-    chosen = F.aggregate(F.array_sort(spans, order), no_spans(), lambda done, s: F.when(free(done, s), F.concat(done, F.array(s))).otherwise(done))
-    return F.array_sort(chosen, lambda a, b: a["beg"] - b["beg"])
+    greedy = lambda own: F.aggregate(F.array_sort(own, order), no_spans(), lambda done, s: F.when(free(done, s), F.concat(done, F.array(s))).otherwise(done))
+    chosen = lambda own: F.when(F.size(own) <= 1, own).otherwise(F.array_sort(greedy(own), lambda a, b: a["beg"] - b["beg"]))
+
+    def step(now: Column, s: Column) -> tuple[Column, Column]:
+        meets = s["beg"] < now["end"]
+        grown = F.struct(F.greatest(now["end"], s["end"]).alias("end"), F.concat(now["own"], F.array(s)).alias("own"))
+        return F.when(meets, grown).otherwise(F.struct(s["end"].alias("end"), F.array(s).alias("own"))), F.when(meets, F.array().cast(f"array<{SPANS}>")).otherwise(F.array(now["own"]))
+
+    start = F.struct(F.lit(-1).alias("end"), no_spans().alias("own"))
+    groups = let(F.array_sort(spans, _by_place), lambda x: _fold(x, start, f"struct<end:int,own:{SPANS}>", SPANS, step, lambda now, out: F.concat(out, F.array(now["own"]))))
+    return F.when(F.size(spans) <= 1, spans).otherwise(F.flatten(F.transform(groups, chosen)))
 
 
 def explode_spans(df: DataFrame, spans: Column | str, *keep: str | Column) -> DataFrame:
