@@ -1,11 +1,15 @@
 """Readers, sinks, entities and the command line."""
 
 import json
+import os
 
 import pytest
 
 from veil import cli, entities
+from veil.operators import gazetteer
+from veil.plans import catalogue
 from veil.sources import readers, sinks
+from veil.sources.truetype import read_font
 
 
 def test_formats():
@@ -49,6 +53,51 @@ def test_files_round_trip(spark, tmp_path):
     assert rows["bad.txt"].text == "a�b" and (rows["x.png"].error or rows["x.png"].text is not None)
 
 
+FONT = "/usr/share/fonts/truetype/dejavu/DejaVuSans.ttf"
+
+
+def test_pdf_of_other_characters(tmp_path):
+    with pytest.raises(ValueError, match="Helvetica lacks"):
+        sinks.pdf_bytes("Zażółć")
+    if not os.path.exists(FONT):
+        pytest.skip("no TrueType font here")
+    data = sinks.pdf_bytes("Zażółć (x)\nλόγος", font=FONT)
+    font = read_font(FONT)
+    assert b"/FontFile2" in data and b"".join(b"%04X" % font.glyph(c) for c in "λόγος") in data and font.data in data
+    assert all(font.glyph(c) and 100 < font.width(font.glyph(c)) < 1500 for c in "Zażółćλόγος")
+    wrapped = sinks.pdf_bytes("żółć " * 300, wrap=True, font=FONT)
+    assert wrapped.count(b" Tj ") > 10
+    (tmp_path / "x.ttf").write_bytes(b"none")
+    with pytest.raises(ValueError, match="not a TrueType"):
+        read_font(str(tmp_path / "x.ttf"))
+
+
+def test_many_files_in_and_out(spark, tmp_path, capsys):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, text in (("a.txt", "a@b.com"), ("b.md", "x 10.0.1.2"), ("b.txt", "b"), ("sub/c.txt", "c c@d.org")):
+        (tmp_path / "in" / name).write_text(text)
+    assert cli.main(["-i", f"{tmp_path}/in/*.*", "-o", f"{tmp_path}/out"], spark) == 0
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.txt": "EMAIL-8674\n", "b.md.txt": "x PRIVATE_IP-1251\n", "b.txt.txt": "b\n"}
+    assert cli.main(["-i", f"{tmp_path}/in/{{a.txt,sub/c.txt}}", "-o", f"file:{tmp_path}/two", "--output-format", "docx"], spark) == 0
+    assert sorted(str(p.relative_to(tmp_path / "two")) for p in (tmp_path / "two").rglob("*.docx")) == ["a.docx", "sub/c.docx"]
+    assert cli.main(["-i", f"{tmp_path}/in/a.txt", "-o", f"{tmp_path}/one.txt"], spark) == 0 and (tmp_path / "one.txt").read_text() == "EMAIL-8674\n"
+    assert capsys.readouterr().out.split() == [f"{tmp_path}/out", f"file:{tmp_path}/two", f"{tmp_path}/one.txt"]
+
+
+def test_added_entities_are_found(spark, tmp_path, capsys, monkeypatch, caplog):
+    monkeypatch.setattr(catalogue, "GAZETTEERS", dict(catalogue.GAZETTEERS))
+    assert cli.main(["add", str(tmp_path), "-n", "Ada Byron", "-c", "Zwolle"]) == 0
+    for locale in catalogue.LOCALES:
+        assert cli.main(["-t", "Ada Byron lives in Zwolle, zwolle", "-l", locale, "--entities", str(tmp_path)], spark) == 0
+        told = capsys.readouterr().out
+        assert told.startswith("NAME-") and "LOCATION-" in told and "Byron" not in told and told.rstrip().endswith("zwolle")
+    assert "organizations.json" in caplog.text
+    (tmp_path / "organizations.json").write_text("{broken")
+    assert [g.loaded for g in catalogue.entity_lists(tmp_path, "en_US")] == [("Ada Byron",), (), ("Zwolle",)]
+    assert [r.match for r in gazetteer.load(spark, f"{tmp_path}/names.json", ["the"]).collect()] == ["Ada Byron"]
+    assert gazetteer.load(spark, f"{tmp_path}/none.json", []).count() == gazetteer.load(spark, f"{tmp_path}/organizations.json", []).count() == 0
+
+
 def test_input_order(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.resolve_input(spark, "x", append=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veil import sql
 from veil.functions import model
+from veil.operators import ner
 from veil.operators.placeholder import placeholder, replacer
 from veil.operators.spans import span
 from veil.plans import catalogue, scrub
@@ -134,6 +135,57 @@ def test_stream(spark, tmp_path):
     assert [(r.type, r.n) for r in spark.table("counts").collect()] == [("email", 1)]
 
 
-def test_spacy_is_listed_as_not_implemented():
-    listed = next(s for s in catalogue.BY_LOCALE["en_US"] if s.name == "spacy_entities")
-    assert "not implemented" in listed.description and catalogue.builders("en_US", ["spacy_entities"]) == []
+class Entity:
+    def __init__(self, start, end, label):
+        self.start_char, self.end_char, self.label_ = start, end, label
+
+
+class Document:
+    def __init__(self, ents):
+        self.ents = ents
+
+
+def test_named_entities(spark, monkeypatch):
+    """With a stand-in for the model, which no machine here has."""
+
+    def pipe(locale):
+        def run(texts):
+            for t in texts:
+                yield Document([Entity(t.index(w), t.index(w) + len(w), x) for w, x in (("Ada", "PERSON"), ("Oslo", "GPE"), ("3", "CARDINAL")) if w in t])
+
+        return run
+
+    assert catalogue.builders("en_US", ["spacy_entities"]) == [] and "spacy_entities" not in catalogue.available("en_US")
+    monkeypatch.setitem(catalogue.BY_LOCALE, "en_US", list(catalogue.BY_LOCALE["en_US"]))
+    catalogue.register_detector(catalogue.Spec("spacy_entities", "", lambda locale: ner.builder(locale, pipe), by_default=False), "en_US")
+    df = spark.createDataFrame([(1, "😀 Ada saw 3 in Oslo"), (2, None), (3, "")], "doc_id int, text string")
+    found = scrub.findings(df, "en_US", ["spacy_entities"]).orderBy("beg").collect()
+    assert [(r.doc_id, r.beg, r.type, r.text) for r in found] == [(1, 2, "name", "Ada"), (1, 15, "location", "Oslo")]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a@b.com", "own", "too")], "doc_id int, text string, _spans string, spans string")
+    out = scrub.scrub(df, "en_US", ["email"])
+    assert out.columns == df.columns and tuple(out.first())[2:] == ("own", "too")
+    row = scrub.scrub_locales(df.withColumnsRenamed({"_spans": "_shared", "spans": "_row"}), detectors=["email"]).where("locale = 'nl_NL'").first()
+    assert row.text == "EMAIL-8674\n"
+
+
+def test_shared_detectors_run_once(spark):
+    df = spark.createDataFrame([(1, "John a@b.com")], "doc_id int, text string")
+    plan = scrub.scrub_locales(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(_text") + plan.count("regexp_extract_all(coalesce(_text") <= 8 and "Union" not in plan
+
+
+def test_long_texts_with_many_spans(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "é 172.15.1.1, a@b.com " * n)], "doc_id int, text string")
+        start = time.time()
+        text = scrub.scrub(df, "en_US", ["email", "private_ip", "public_ip"], cleanup=False).first().text
+        assert text == "é UNKNOWN-9747, EMAIL-8674 " * n
+        return time.time() - start
+
+    seconds(500)
+    assert seconds(20_000) < 12 * max(seconds(4_000), 0.5)

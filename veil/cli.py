@@ -1,7 +1,9 @@
 """Command line: scrub a text or files, list detectors, add entities.
 
     python -m veil.cli -t "mail me at a@b.com" -l en_US -v
+    python -m veil.cli -i "in/*.docx" -o out --output-format md
     python -m veil.cli add entities/ -n "Ada"
+    python -m veil.cli -t "Ada called" -l en_US --entities entities/
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output-format", choices=sinks.FORMATS)
     p.add_argument("--pdf-mode", choices=("pre", "para"), default="pre")
     p.add_argument("--font-size", type=int, default=11)
-    p.add_argument("--pdf-backend", choices=("pymupdf4llm", "markitdown"), default="pymupdf4llm")
+    p.add_argument("--pdf-font", help="a TrueType font, for characters that Helvetica lacks")
+    p.add_argument("--entities", help="a folder of entity lists, as `add` edits them, in place of the built-in ones")
+    p.add_argument("--pdf-backend", choices=(*readers.PDF_BACKENDS, "all"), default="pymupdf4llm")
     p.add_argument("-a", "--append", action="store_true")
     p.add_argument("-l", "--locale", choices=catalogue.LOCALES)
     p.add_argument("-d", "--detectors", help="names, apart by blanks")
@@ -69,6 +73,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     spark = spark or SparkSession.builder.appName("veil").getOrCreate()
     wanted = o.detectors.split() if o.detectors else None
+    if o.entities:
+        catalogue.use_entities(o.entities)
     try:
         given = readers.resolve_input(spark, o.text, o.input, o.append, o.output, o.pdf_backend)
         done = scrub.scrub_default(given, o.locale, wanted, o.custom, o.cleanup)
@@ -78,7 +84,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if o.text is not None and not o.output and not o.output_format:
             print(done.first()["text"])
         else:
-            print(sinks.write_output(done, o.output, o.output_format, o.pdf_mode, o.font_size))
+            print(sinks.write_output(done, o.output, o.output_format, o.pdf_mode, o.font_size, o.pdf_font))
     except (ValueError, readers.ConversionError) as error:
         print(error, file=sys.stderr)
         return 1

@@ -7,6 +7,7 @@ tokens meet the first tokens of entities in an equi-join, so a large list needs
 
 from __future__ import annotations
 
+import logging
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veil import constants as C
-from veil.functions.text import islower
-from veil.operators.spans import SPANS, longest_first, matches, span
+from veil.functions.text import islower, let
+from veil.operators.spans import BLOCK, SPANS, blocks, longest_first, matches, piece, span
 
+log = logging.getLogger(__name__)
 _LETTER = re.compile(f"[{C.LETTERS}]").match
 _DELIMITER = re.compile(r"[\s\[\]()<>]")
 _DOMAIN = re.compile(r"\.[a-z]{2,15}(?:/|\b)").search
@@ -79,10 +81,11 @@ class Gazetteer:
         if self.several_words:
             self._find_normalised(text, around, hits)
         chosen: list[tuple[int, int]] = []
-        for beg, end in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
-            if all(end <= b or beg >= e for b, e in chosen):
-                chosen.append((beg, end))
-        return sorted(chosen)
+        for hit in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+            at = bisect_left(chosen, hit)  # those chosen are apart, so only its neighbours can overlap it
+            if (not at or chosen[at - 1][1] <= hit[0]) and (at == len(chosen) or hit[1] <= chosen[at][0]):
+                chosen.insert(at, hit)
+        return chosen
 
     def _allowed(self, own: str) -> bool:
         small = own.islower()
@@ -94,8 +97,9 @@ class Gazetteer:
         if not wanted:
             return
         units = _Units(text)
+        written = {text[b:e].lower() for b, e in hits}
         for low, norm in wanted:
-            if any(text[b:e].lower() == low for b, e in hits):
+            if low in written:
                 continue
             at = whole.find(norm)
             while at >= 0:
@@ -183,8 +187,16 @@ def spans(text: Column, rank: int, gazetteer: Gazetteer) -> Column:
 
 
 def load(spark: SparkSession, path: str, stop_words: list[str]) -> DataFrame:
-    """(match) of a JSON list of {"match", "filth_type"}, with the useless ones left out; the kind in the file is not read."""
-    rows = spark.read.schema("match string, filth_type string").option("multiLine", True).json(path)
+    """(match) of a JSON list of {"match", "filth_type"}, with the useless ones left out; the kind in the file is not read.
+
+    A missing or broken file is an empty list, with a warning.
+    """
+    try:
+        rows = spark.read.schema("match string, filth_type string").option("multiLine", True).option("mode", "FAILFAST").json(path)
+        rows.limit(1).collect()
+    except Exception as error:
+        log.warning("No entities from %s: %s", path, str(error).splitlines()[0])
+        rows = spark.createDataFrame([], "match string, filth_type string")
     match = F.trim("match")
     usable = rows.select(match.alias("match")).where((F.length("match") > 1) & F.col("match").rlike("\\p{L}"))
     return usable.where(~F.lower("match").isin(stop_words)) if stop_words else usable
@@ -200,40 +212,50 @@ def joined_spans(docs: DataFrame, entities: DataFrame, stop_words: list[str], id
     """(id, kind, beg, end, text): entities (match, kind) as written, by equi-join on their first token.
 
     Tokens are runs of letters and digits.  An entity with none of them is not found this way.  Spark broadcasts the entity side only if
-    it measures small; tokens meet entities without their texts, and texts travel once, to be checked against their own candidates.
+    it measures small; the numbers of tokens meet entities without their texts, and texts travel once: a text with candidates is placed token by token,
+    and each candidate is checked where its token stands, in pieces of bounded length.
     """
     token = f"[{C.LETTERS}]+"
     first = F.regexp_extract(F.lower("match"), token, 0)
     wanted = entities.select("kind", F.lower("match").alias("low"), first.alias("token")).where("token <> ''").distinct()
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(token), F.lit(0)), F.lower))
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("token"))
-    near = tokens.join(wanted, "token").select("id", F.struct("kind", "low").alias("c"))
-    by_text = near.groupBy("id").agg(F.collect_set("c").alias("wanted"))
+    wanted = wanted.withColumn("shift", F.expr("locate(token, low) - 1"))
+    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(token), F.lit(0))
+    tokens = docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("n", "token"))
+    near = tokens.join(wanted, "token").select("id", F.struct("n", "kind", "low", "shift").alias("c"))
+    by_text = near.groupBy("id").agg(F.collect_list("c").alias("wanted"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
-    both = texts.join(by_text.hint("shuffle_hash"), F.col("_id") == F.col("id")).select("id", "t", F.lower("t").alias("l"), "wanted")
-    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    ahead = lambda low: F.concat(quoted(F.left(low, F.lit(1))), F.lit("(?="), quoted(F.substring(low, F.lit(2), F.length(low))), F.lit(")"))  # noqa: E731  overlapping places too
+    both = texts.join(by_text.hint("shuffle_hash"), F.col("_id") == F.col("id")).select("id", "t", "wanted", matches(F.lower("t"), token).alias("tokens"), blocks(F.col("t")).alias("parts"))
+
+    def place(c: Column) -> Column:
+        beg = F.get(F.col("tokens"), c["n"])["beg"] - c["shift"]
+        return F.struct(c["kind"].alias("kind"), c["low"].alias("low"), beg.alias("beg"), (beg + F.length(c["low"])).alias("end"))
 
-    def places(c: Column) -> Column:
-        at = lambda m: F.struct(c["kind"].alias("kind"), c["low"].alias("low"), m["beg"].alias("beg"), (m["beg"] + F.length(c["low"])).alias("end"))
-        return F.transform(matches(F.col("l"), ahead(c["low"])), at)
+    both = both.select("id", "t", "parts", F.transform("wanted", place).alias("all"))
+    take = lambda beg, end: piece(F.col("parts"), F.greatest(beg, F.lit(0)), F.least(end, F.length("t")) - F.greatest(beg, F.lit(0)))
+    delimiter = "(?U)[\\s\\[\\]()<>]"
 
-    both = both.select("id", "t", F.flatten(F.transform("wanted", places)).alias("all"))
+    def link(c: Column, own: Column) -> Column:
+        """The run between delimiters that holds the candidate, looked for in its neighbourhood first."""
+        left, right = take(c["beg"] - BLOCK, c["beg"]), take(c["end"], c["end"] + BLOCK)
+        left = F.when((c["beg"] <= BLOCK) | left.rlike(delimiter), left).otherwise(take(F.lit(0), c["beg"]))
+        right = F.when((c["end"] + BLOCK >= F.length("t")) | right.rlike(delimiter), right).otherwise(take(c["end"], F.length("t")))
+        return F.lower(F.concat(F.element_at(F.split(left, delimiter, -1), -1), own, F.get(F.split(right, delimiter, 2), F.lit(0))))
 
     def fits(c: Column) -> Column:
-        own = F.substring(F.col("t"), c["beg"] + 1, c["end"] - c["beg"])
-        before, after = F.substring(F.col("t"), c["beg"], F.lit(1)), F.substring(F.col("t"), c["end"] + 1, F.lit(1))
-        apart = ((c["beg"] == 0) | ~before.rlike(f"[{C.LETTERS}]")) & ~after.rlike(f"[{C.LETTERS}]")
-        left = F.element_at(F.split(F.substring(F.col("t"), F.lit(1), c["beg"]), "(?U)[\\s\\[\\]()<>]", -1), -1)
-        right = F.get(F.split(F.substring(F.col("t"), c["end"] + 1, F.length("t")), "(?U)[\\s\\[\\]()<>]", 2), F.lit(0))
-        link = F.lower(F.concat(left, own, right))
-        linked = F.contains(link, F.lit("://")) | link.startswith("www.") | link.rlike("(?U)\\.[a-z]{2,15}(?:/|\\b)")
-        small = islower(own)
-        wrong = small & ((F.length(own) <= 3) | c["kind"].isin(*CAPITALISED) | (own.isin(stop_words) if stop_words else F.lit(False)))
-        return (F.lower(own) == c["low"]) & apart & ~wrong & own.rlike("\\p{L}") & ~linked
-
-    each = both.select("id", F.transform(F.filter("all", fits), lambda c: F.struct(c["kind"].alias("kind"), span(c["beg"], c["end"], "", F.substring(F.col("t"), c["beg"] + 1, c["end"] - c["beg"]), "", 0).alias("s"))).alias("all"))
-    kinds = F.explode(F.array_distinct(F.transform("all", lambda c: c["kind"])))
+        def check(own: Column) -> Column:
+            before, after = take(c["beg"] - 1, c["beg"]), take(c["end"], c["end"] + 1)
+            apart = ((c["beg"] == 0) | ~before.rlike(f"[{C.LETTERS}]")) & ~after.rlike(f"[{C.LETTERS}]")
+            small = islower(own)
+            wrong = small & ((F.length(own) <= 3) | c["kind"].isin(*CAPITALISED) | (own.isin(stop_words) if stop_words else F.lit(False)))
+            url = lambda x: F.contains(x, F.lit("://")) | x.startswith("www.") | x.rlike("(?U)\\.[a-z]{2,15}(?:/|\\b)")
+            return (F.lower(own) == c["low"]) & apart & ~wrong & own.rlike("\\p{L}") & ~let(link(c, own), url)
+
+        return (c["beg"] >= 0) & let(take(c["beg"], c["end"]), check)
+
+    kept = both.select("id", "parts", F.filter("all", fits).alias("all")).where(F.size("all") > 0)
+    each = kept.select("id", F.transform("all", lambda c: F.struct(c["kind"].alias("kind"), span(c["beg"], c["end"], "", piece(F.col("parts"), c["beg"], c["end"] - c["beg"]), "", 0).alias("s"))).alias("all"))
+    kinds = F.explode_outer(F.array_distinct(F.transform("all", lambda c: c["kind"])))
     grouped = each.select("id", "all", kinds.alias("kind"))
-    own = F.transform(F.filter("all", lambda c: c["kind"] == F.col("kind")), lambda c: c["s"])
-    return grouped.select("id", "kind", F.explode(longest_first(own)).alias("s")).select(F.col("id").alias(id_col), "kind", F.col("s.beg").alias("beg"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
+    own = F.array_distinct(F.transform(F.filter("all", lambda c: c["kind"] == F.col("kind")), lambda c: c["s"]))
+    found = grouped.select("id", "kind", F.explode_outer(longest_first(own)).alias("s")).where("s is not null")
+    return found.select(F.col("id").alias(id_col), "kind", F.col("s.beg").alias("beg"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))

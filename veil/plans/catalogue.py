@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import importlib.util
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from veil import constants as C
+from veil.entities import load_json
 from veil.operators import detectors as D
 from veil.operators import gazetteer as G
+from veil.operators import ner
 
 log = logging.getLogger(__name__)
 LOCALES = ("en_US", "nl_NL")
@@ -45,7 +47,7 @@ def english() -> list[G.Gazetteer]:
     return [G.Gazetteer(kind, tuple(x), stop) for kind, x in lists]
 
 
-#: The entity lists of each locale; assign others to match other entities.
+#: The entity lists of each locale; assign others, or use_entities() of a folder, to match other entities.
 GAZETTEERS: dict[str, list[G.Gazetteer]] = {"nl_NL": dutch(), "en_US": english()}
 
 
@@ -57,15 +59,30 @@ def _listed(kind: str) -> Callable[[str], Builder]:
     return build
 
 
-def _spacy(locale: str) -> Builder:
-    raise RuntimeError("spacy_entities is not implemented")
+def entity_lists(folder: str | Path, locale: str) -> list[G.Gazetteer]:
+    """The lists of a folder that the entity tool edits: cities (or locations), names, organizations and applications as JSON.
 
+    A missing or broken file is an empty list, with a warning.  Dutch entities stay in the first list that has them.
+    """
 
-def _spacy_there(locale: str) -> bool:
-    return importlib.util.find_spec("spacy") is not None
+    def read(*files: str) -> tuple[str, ...]:
+        name = next((f for f in files if (Path(folder) / f).exists()), files[0])
+        return tuple(r["match"] for r in load_json(Path(folder) / name) if isinstance(r, dict) and isinstance(r.get("match"), str))
+
+    found = {"locations": read("cities.json", "locations.json"), "organizations": read("organizations.json"), "names": read("names.json"), "applications": read("applications.json")}
+    if locale == "nl_NL":
+        return dutch(**found)
+    stop = frozenset(C.ENGLISH_STOP_WORDS)
+    return [G.Gazetteer(kind, found[f"{kind}s"], stop) for kind in ("name", "organization", "location")]
+
+
+def use_entities(folder: str | Path, locales: tuple[str, ...] = LOCALES) -> None:
+    """From now on the detectors of these locales match the folder's lists."""
+    for x in locales:
+        GAZETTEERS[x] = entity_lists(folder, x)
 
 
-_NER = Spec("spacy_entities", "Named entities by a spaCy model (not implemented: listed only)", _spacy, _spacy_there, False)
+_NER = Spec("spacy_entities", "Named entities by a spaCy model (where spaCy and the model are installed)", ner.builder, ner.installed, False)
 GENERIC: list[Spec] = [
     Spec("markdown_url", "URLs in Markdown links [text](url)", _pattern(D.markdown_url)),
     Spec("sharepoint_url", "SharePoint URLs, before the generic URLs", _pattern(D.sharepoint_url)),

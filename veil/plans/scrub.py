@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veil.functions.text import free
 from veil.operators import placeholder
 from veil.operators.cleanup import cleanup as clean_up
 from veil.operators.spans import SPANS, explode_spans, merge, no_spans, splice
@@ -20,9 +20,13 @@ log = logging.getLogger(__name__)
 def with_spans(df: DataFrame, locale: str, detectors: list[str] | None = None, custom_text: str | None = None, text_col: str = "text", into: str = "spans", touching: bool = True) -> DataFrame:
     """df with `into`: the merged spans of the text, by the selected detectors; none for a null text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = [build(text, rank) for rank, (_, build) in enumerate(catalogue.builders(locale, detectors, custom_text))]
-    found = F.concat(*parts) if parts else no_spans()
-    return df.withColumn(into, found.cast(SPANS)).withColumn(into, merge(F.col(into), text, touching))
+    return df.withColumn(into, _found(text, catalogue.builders(locale, detectors, custom_text))).withColumn(into, merge(F.col(into), text, touching))
+
+
+def _found(text: Column, builders: list, before: int = 0) -> Column:
+    """The spans of all detectors but the first so many."""
+    parts = [build(text, rank) for rank, (_, build) in enumerate(builders) if rank >= before]
+    return (F.concat(*parts) if parts else no_spans()).cast(SPANS)
 
 
 def scrub(
@@ -33,11 +37,11 @@ def scrub(
 
     A null text stays null.  The plan has no shuffle; Python runs only if a gazetteer with entities is selected.
     """
-    spans = keep_spans or "_spans"
+    spans = keep_spans or free(df.columns, "spans")[0]
     out = with_spans(df, locale, detectors, custom_text, text_col, spans)
     new = splice(F.col(text_col), F.col(spans), replace or placeholder.replacer())
     out = out.withColumn(into or text_col, clean_up(new) if cleanup else new)
-    return out if keep_spans else out.drop("_spans")
+    return out if keep_spans else out.drop(spans)
 
 
 def locales_of(locale: str | None) -> list[str]:
@@ -51,23 +55,35 @@ def scrub_locales(
     """(id, locale, text, detectors, error[, spans]): a row for each text and locale, both locales for None.
 
     detectors is a list for all locales or a map by locale; a locale that the map lacks runs none.  A locale whose plan cannot be built has its
-    error in its rows and a null text; if none can be built, the first error is raised.
+    error in its rows and a null text; if none can be built, the first error is raised.  Texts are read once, and detectors that the locales share run once.
     """
-    parts, errors = [], {}
+    plans, errors = {}, {}
     for x in locales_of(locale):
-        wanted = detectors.get(x, []) if isinstance(detectors, dict) else detectors
         try:
-            names = [n for n, _ in catalogue.builders(x, wanted, custom_text)]
-            out = scrub(df, x, wanted, custom_text, cleanup, text_col, "_scrubbed", keep_spans="_found")
-            own = out.select(F.col(id_col), F.lit(x).alias("locale"), F.col("_scrubbed").alias("text"), F.array(*map(F.lit, names)).cast("array<string>").alias("detectors"), F.lit(None).cast("string").alias("error"), F.col("_found").alias("spans"))
-            parts.append(own)
+            plans[x] = catalogue.builders(x, detectors.get(x, []) if isinstance(detectors, dict) else detectors, custom_text)
         except Exception as error:
             log.warning("Locale %s failed: %s", x, error)
             errors[x] = error
-            parts.append(df.select(F.col(id_col), F.lit(x).alias("locale"), F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("detectors"), F.lit(str(error)).alias("error"), no_spans().alias("spans")))
-    if len(errors) == len(parts):
+    if not plans:
         raise next(iter(errors.values()))
-    whole = reduce(DataFrame.unionByName, parts)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    first = next(iter(plans.values()))
+    same = lambda i: all(i < len(p) and p[i][0] == first[i][0] and (p[i][1] is first[i][1] or p[i][0] == "custom") for p in plans.values())
+    shared = next((i for i in range(len(first) + 1) if i == len(first) or not same(i)), 0)  # detectors that all locales begin with run once
+    out = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _found(text, first[:shared]).alias("_shared"))
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    out = out.select("_id", "_text", *(F.concat("_shared", _found(text, p, shared)).alias(f"_{x}") for x, p in plans.items()))
+    out = out.select("_id", "_text", *(merge(F.col(f"_{x}"), text).alias(f"_{x}") for x in plans))
+
+    def row(x: str) -> Column:
+        if x in errors:
+            told = (F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(str(errors[x])), no_spans())
+        else:
+            new = splice(F.col("_text"), F.col(f"_{x}"), placeholder.replacer())
+            told = (clean_up(new) if cleanup else new, F.array(*(F.lit(n) for n, _ in plans[x])).cast("array<string>"), F.lit(None).cast("string"), F.col(f"_{x}"))
+        return F.struct(F.lit(x).alias("locale"), *(c.alias(n) for c, n in zip(told, ("text", "detectors", "error", "spans"), strict=True)))
+
+    whole = out.select(F.col("_id").alias(id_col), F.explode_outer(F.array(*map(row, locales_of(locale)))).alias("_row")).select(id_col, "_row.*")
     return whole if include_spans else whole.drop("spans")
 
 

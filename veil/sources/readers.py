@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import io
+import logging
 import re
 import shutil
 import subprocess
@@ -66,7 +67,9 @@ _RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-f]{2})|\\([^a-z])|(
 def rtf_text(content: bytes) -> str:
     """The text of an RTF file, without fonts, styles and pictures."""
     if not content.lstrip().startswith(b"{\\rtf"):
-        raise ConversionError("not an RTF file")
+        if shutil.which("pandoc"):
+            return _tool(["pandoc", "{}", "-t", "plain"], content, ".rtf")
+        raise ConversionError("not an RTF file, and pandoc is not installed")
     out: list[str] = []
     stack: list[tuple[bool, int]] = []
     hidden, width, skip = False, 1, 0
@@ -98,19 +101,43 @@ def rtf_text(content: bytes) -> str:
     return "".join(out)
 
 
-def pdf_text(content: bytes, backend: str = "pymupdf4llm") -> str:
-    """A PDF's text by the backend asked for, or else by whichever tool is installed."""
-    choices = {"pymupdf4llm": "pymupdf4llm", "markitdown": "markitdown"}
-    for name in dict.fromkeys([choices.get(backend, "markitdown"), "markitdown"]):
-        if importlib.util.find_spec(name):
-            with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
-                f.write(content)
-                f.flush()
-                module = importlib.import_module(name)
-                return module.to_markdown(f.name) if name == "pymupdf4llm" else module.MarkItDown().convert(f.name).text_content or ""
-    if shutil.which("pdftotext"):
+#: What reads PDFs, in the order in which it is tried after the backend asked for.
+PDF_BACKENDS = ("pymupdf4llm", "markitdown", "pdftotext", "pdfminer")
+
+
+def _pdf_by(name: str, content: bytes) -> str:
+    if name == "pdftotext":
         return _tool(["pdftotext", "-layout", "-enc", "UTF-8", "{}", "-"], content, ".pdf")
-    raise ConversionError("no tool for PDF files is installed (pymupdf4llm, markitdown or pdftotext)")
+    if name == "pdfminer":
+        from pdfminer.high_level import extract_text
+        from pdfminer.layout import LAParams
+
+        return extract_text(io.BytesIO(content), laparams=LAParams(line_margin=0.3, char_margin=2.0, word_margin=0.1, boxes_flow=None))
+    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
+        f.write(content)
+        f.flush()
+        module = importlib.import_module(name)
+        return module.to_markdown(f.name) if name == "pymupdf4llm" else module.MarkItDown().convert(f.name).text_content or ""
+
+
+def _there(name: str) -> bool:
+    return bool(shutil.which(name)) if name == "pdftotext" else importlib.util.find_spec(name) is not None
+
+
+def pdf_text(content: bytes, backend: str = "pymupdf4llm") -> str:
+    """A PDF's text by the backend asked for, or else by whichever tool is installed.
+
+    The backend `all` gives the texts of all Markdown tools there are, one after the other under their names.
+    """
+    if backend == "all":
+        found = [(name, _pdf_by(name, content)) for name in PDF_BACKENDS[:2] if _there(name)]
+        if found:
+            return "\n\n".join(f"# {name}\n\n{text}" for name, text in found)
+    logging.getLogger("pdfminer").setLevel(logging.ERROR)  # it warns of every font without a box
+    for name in dict.fromkeys([backend if backend in PDF_BACKENDS else "markitdown", *PDF_BACKENDS[1:]]):
+        if _there(name):
+            return _pdf_by(name, content)
+    raise ConversionError(f"no tool for PDF files is installed ({', '.join(PDF_BACKENDS)})")
 
 
 def image_text(content: bytes, suffix: str = ".png", lang: str | None = None) -> str:
