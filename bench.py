@@ -42,7 +42,7 @@ def main() -> None:
         "addresses": scrub.scrub(docs, "en_US", addresses),
         "generic": scrub.scrub(docs, "en_US", generic),
         "en_US": scrub.scrub(docs, "en_US"),
-        "filth_by_source": scrub.findings(docs, "en_US", addresses).groupBy("type").count(),
+        "filth_by_type": scrub.findings(docs, "en_US", addresses).groupBy("type").count(),
         "gazetteer_automaton": docs.select("doc_id", gazetteer.spans(F.col("text"), 0, names).alias("s")),
         "gazetteer_join": gazetteer.joined_spans(docs, listed, []),
         "cleanup": docs.select("doc_id", cleanup.cleanup(F.col("text")).alias("text")),
