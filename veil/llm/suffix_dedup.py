@@ -3,7 +3,7 @@
 The suffixes of a corpus do not fit into one array, so they are dealt to groups first.  The anchor of a window of `length` bytes is
 its gram of least hash; equal windows have equal anchors at equal places, so a group holds the windows
 of one anchor, as runs of windows that follow one another.  Runs whose anchor occurs once drop out,
-and runs alike from end to end (by 128 bits of their bytes' digest and 64 of the anchor's) are collapsed to one member and its count.  Anchors with
+and runs alike from end to end (by 81 bits of their bytes' digest and 64 of the anchor's) are collapsed to one member and its count.  Anchors with
 very many different runs are counted window by window, by 128-bit digests.  Within every other group the suffixes are
 sorted: prefix polynomial hashes give any substring's hash, a binary search over them the common extension of two suffixes, so a comparison
 in the mergesort takes logarithmic time.  Neighbours that agree over the whole length are repeats; their bytes are
@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.llm.common import cut, partitions
@@ -28,7 +28,9 @@ PIECE = 1 << 20
 #: Contexts that are sorted at a time, unless one group has more.
 BATCH = 4000
 #: Different runs of one anchor that are sorted; the windows of more than that are counted, which no one task has to do.
-HOT = 4000
+HOT = 1000
+#: Where a run's place has the windows, the first of them, and what it has room for of the second half of the digest.
+FIRST, MARK = 16, 47
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,7 +136,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """(h, k, k2, id, th, place) of every run; place packs first window, windows - 1 and the anchor's place after the first."""
+    """(h, k, id, th, place) of every run; place packs 17 bits more of the digest, first window, windows - 1 and the anchor's place after the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,11 +147,16 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                     first, count, rel, h, k, k2 = runs_of(data, sizes, length)
                     begin = np.r_[0, np.cumsum(sizes)[:-1]]
                     which = np.searchsorted(begin, first, side="right") - 1
-                    place = (first - begin[which] + np.array(offsets)[which]) << 16 | (count - 1) << 8 | rel
+                    place = k2 >> MARK << MARK | (first - begin[which] + np.array(offsets)[which]) << FIRST | (count - 1) << 8 | rel
                     row = np.array(rows, np.int64)[which]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, k, k2, ids[row], hashes[row], place)], ["h", "k", "k2", "id", "th", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, k, ids[row], hashes[row], place)], ["h", "k", "id", "th", "place"])
 
-    return docs.select("id", "th", "raw").mapInArrow(run, "h long, k long, k2 long, id long, th long, place long")
+    return docs.select("id", "th", "raw").mapInArrow(run, "h long, k long, id long, th long, place long")
+
+
+def _placed(place: int) -> tuple[int, int, int]:
+    """(first window, windows, the anchor's place after the first)."""
+    return place >> FIRST & (1 << MARK - FIRST) - 1, (place >> 8 & 255) + 1, place & 255
 
 
 # -- sorting ----------------------------------------------------------------------------------
@@ -300,7 +307,9 @@ def _contexts(length: int):
                 rows = []
                 for i, th, t, todo in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True):
                     for x in todo:
-                        at, n, rel = x["place"] >> 16, (x["place"] >> 8 & 255) + 1, x["place"] & 255
+                        if x["hot"]:
+                            continue
+                        at, n, rel = _placed(x["place"])
                         a = at + rel  # the anchor
                         left = min(n, rel - half + 1)  # windows that begin at least half before it
                         if left > 0:
@@ -324,46 +333,65 @@ def _windows(length: int):
             for i, th, t, todo in zip(*b.columns, strict=True):
                 view = memoryview(t.as_buffer())
                 for x in todo.as_py():
-                    at, n = x["place"] >> 16, (x["place"] >> 8 & 255) + 1
+                    if not x["hot"]:
+                        continue
+                    at, n, _ = _placed(x["place"])
                     told = digests(view, ((p, p + length) for p in range(at, at + n)))
                     yield pa.RecordBatch.from_arrays([pa.array(told[:, 0]), pa.array(told[:, 1]), pa.array([x["m"]] * n, pa.int32()), pa.array([i.as_py()] * n, pa.int64()), pa.array([th.as_py()] * n, pa.int64()), pa.array(np.arange(at, at + n))], ["a", "b", "m", "id", "th", "s"])
 
     return run
 
 
+def _others(length: int):
+    """(id, th, s, e): what the windows of runs cover that are not among the lone ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, th, places, lone in zip(*b.columns, strict=True):
+                every = np.unique(np.concatenate([np.arange(at, at + n) for at, n, _ in map(_placed, places.as_py())]))
+                s = np.setdiff1d(every, np.array(lone.as_py() or [], np.int64))
+                if not len(s):
+                    continue
+                cut = np.flatnonzero(np.diff(s) > 1)
+                first, last = s[np.r_[0, cut + 1]], s[np.r_[cut, len(s) - 1]] + length
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(first), pa.int64()), pa.array([th.as_py()] * len(first), pa.int64()), pa.array(first), pa.array(last)], ["id", "th", "s", "e"])
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, th, s, e): byte spans of the texts (id, th, raw), overlapping and in any order, that are covered by repeated strings.
 
     Runs are hashed twice, to find the anchors that repeat and to fetch their runs.  What is aggregated is checkpointed, so a join with
-    it shuffles both sides and AQE can split a frequent anchor's runs; so is that join itself, or else the sorting would share its stage and its skew.
+    it shuffles both sides and AQE can split a frequent anchor's runs; so is the join with a frequent run's copies, or else the sorting would share its stage and its skew.
     """
+    mark = F.shiftright("place", MARK)
     found = _runs(docs, length)
-    differ = (F.min("k") != F.max("k")) | (F.min("k2") != F.max("k2"))
+    differ = (F.min("k") != F.max("k")) | (F.min(mark) != F.max(mark))
     anchors = cut(found.groupBy("h").agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1").select("h", "mixed"))
     shared = cut(found.join(anchors, "h"))
-    span = lambda place: ((F.shiftright(place, 16)).alias("s"), (F.shiftright(place, 16) + F.shiftright(place, 8).bitwiseAND(F.lit(255)) + length).alias("e"))
-    alike = shared.where("not mixed").select("id", "th", *span(F.col("place")))
-    mixed = shared.where("mixed").drop("mixed")
-    members = cut(mixed.groupBy("h", "k", "k2").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "place")).alias("one")))
-    several = cut(mixed.join(members.where("m > 1").select("h", "k", "k2"), ["h", "k", "k2"]).select("id", "th", *span(F.col("place"))))
-    hot = cut(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
+    first = F.shiftright("place", FIRST).bitwiseAND(F.lit((1 << MARK - FIRST) - 1))
+    span = (first.alias("s"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + length).alias("e"))
+    alike = shared.where("not mixed").select("id", "th", *span)
+    mixed = shared.where("mixed").select("h", "k", mark.alias("mark"), "id", "th", "place")
+    members = cut(mixed.groupBy("h", "k", "mark").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "place")).alias("one")))
+    several = cut(mixed.join(members.where("m > 1").select("h", "k", "mark"), ["h", "k", "mark"]).select("id", "th", *span))
+    hot = cut(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot")))
     some_hot = not hot.isEmpty()
-
-    def texts_of(own: DataFrame) -> DataFrame:
-        """(id, th, raw, todo): texts with their runs in question."""
-        todo = own.select(F.col("one.id").alias("_id"), F.col("one.th").alias("_th"), F.struct("h", F.least("m", F.lit(2)).cast("int").alias("m"), F.col("one.place").alias("place")).alias("x")).groupBy("_id", "_th").agg(F.collect_list("x").alias("todo"))
-        return dealt.join(todo.hint("shuffle_hash"), (dealt["id"] == todo["_id"]) & (dealt["th"] == todo["_th"])).select("id", "th", "raw", "todo")
-
-    contexts = texts_of(members.join(hot, "h", "left_anti") if some_hot else members).mapInArrow(_contexts(length), "h long, sub long, m int, id long, th long, first long, rel int, content binary")
+    told = members.join(hot, "h", "left") if some_hot else members.withColumn("hot", F.lit(False))
+    own = told.select(F.col("one.id").alias("_id"), F.col("one.th").alias("_th"), F.struct("h", F.least("m", F.lit(2)).cast("int").alias("m"), F.col("one.place").alias("place"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
+    todo = own.groupBy("_id", "_th").agg(F.collect_list("x").alias("todo"))
+    texts = dealt.join(todo.hint("shuffle_hash"), (dealt["id"] == todo["_id"]) & (dealt["th"] == todo["_th"])).select("id", "th", "raw", "todo")
+    contexts = texts.mapInArrow(_contexts(length), "h long, sub long, m int, id long, th long, first long, rel int, content binary")
     sorted_ = contexts.repartition(partitions(docs.sparkSession), "h", "sub").sortWithinPartitions("h", "sub")
     out = alike.unionByName(several).unionByName(sorted_.mapInArrow(_partial(length), "id long, th long, s long, e long"))
     if some_hot:
-        windows = texts_of(members.join(hot, "h", "left_semi")).mapInArrow(_windows(length), "a long, b long, m int, id long, th long, s long")
-        counted = cut(windows.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b"))
-        order = Window.partitionBy("id", "th").orderBy("s")
-        hits = windows.where("m = 1").join(counted, ["a", "b"]).select("id", "th", "s").distinct()
-        islands = hits.withColumn("new", F.coalesce((F.col("s") > F.lag("s").over(order) + 1).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
-        out = out.unionByName(islands.groupBy("id", "th", "island").agg(F.min("s").alias("s"), (F.max("s") + length).alias("e")).drop("island"))
+        windows = texts.mapInArrow(_windows(length), "a long, b long, m int, id long, th long, s long")
+        counted = windows.groupBy("a", "b").agg(F.sum("m").alias("n"), F.min(F.struct("id", "th", "s")).alias("one")).where("n = 1")
+        lone = counted.groupBy("one.id", "one.th").agg(F.collect_list("one.s").alias("lone"))
+        runs = own.where("x.hot and x.m = 1").groupBy(F.col("_id").alias("id"), F.col("_th").alias("th")).agg(F.collect_list("x.place").alias("places"))
+        rest = runs.join(lone.hint("shuffle_hash"), ["id", "th"], "left").select("id", "th", "places", "lone")
+        out = out.unionByName(rest.mapInArrow(_others(length), "id long, th long, s long, e long"))
     return out
 
 
