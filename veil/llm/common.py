@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.functions.text import free  # noqa: F401  for the operators beside this
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,22 +35,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def free(columns: list[str], *names: str) -> list[str]:
-    """Each name with as many underscores before it as make it none of the columns."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while (name := f"_{name}").lower() in taken:
-            pass
-        out.append(name)
-    return out
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: cut like a checkpoint, but in columns and compressed, for what has many rows."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

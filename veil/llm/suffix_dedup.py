@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import cut, partitions
+from veil.llm.common import cut, partitions, written
 
 LENGTH = 200
 #: Texts are hashed in pieces of so many bytes.
@@ -363,19 +363,19 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH) -> D
     """(id, th, s, e): byte spans of the texts (id, th, raw), overlapping and in any order, that are covered by repeated strings.
 
     Runs are hashed twice, to find the anchors that repeat and to fetch their runs.  What is aggregated is checkpointed, so a join with
-    it shuffles both sides and AQE can split a frequent anchor's runs; so is the join with a frequent run's copies, or else the sorting would share its stage and its skew.
+    it shuffles both sides and AQE can split a frequent anchor's runs.  The join with a frequent run's copies is written, or else the sorting would share its stage and its skew.
     """
     mark = F.shiftright("place", MARK)
     found = _runs(docs, length)
     differ = (F.min("k") != F.max("k")) | (F.min(mark) != F.max(mark))
     anchors = cut(found.groupBy("h").agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1").select("h", "mixed"))
-    shared = cut(found.join(anchors, "h"))
+    shared = written(found.join(anchors, "h"), "suffix-runs")
     first = F.shiftright("place", FIRST).bitwiseAND(F.lit((1 << MARK - FIRST) - 1))
     span = (first.alias("s"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + length).alias("e"))
     alike = shared.where("not mixed").select("id", "th", *span)
     mixed = shared.where("mixed").select("h", "k", mark.alias("mark"), "id", "th", "place")
     members = cut(mixed.groupBy("h", "k", "mark").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "place")).alias("one")))
-    several = cut(mixed.join(members.where("m > 1").select("h", "k", "mark"), ["h", "k", "mark"]).select("id", "th", *span))
+    several = written(mixed.join(members.where("m > 1").select("h", "k", "mark"), ["h", "k", "mark"]).select("id", "th", *span), "suffix-copies")
     hot = cut(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot")))
     some_hot = not hot.isEmpty()
     told = members.join(hot, "h", "left") if some_hot else members.withColumn("hot", F.lit(False))
