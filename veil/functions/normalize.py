@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veil.functions.text import islower, join, let, lstrip, rstrip, splitlines, strip
+from veil.operators.spans import fold
 
 _SPLIT_URL = "(?U)https?://\\S*(?:\\n\\S+)+"
 _ITEM = "(?U)^\\s*(?:[-*•]|\\d+\\.)\\s+"
@@ -73,35 +74,25 @@ def dehyphenate(text: Column) -> Column:
     """
     clean = F.replace(F.replace(text, F.lit("\u00ad"), F.lit("")), F.lit("\u2011"), F.lit("-"))
 
-    def fold(lines: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("taken"), F.lit(0).alias("i"))
-
-        def step(s: Column, x: Column) -> Column:
-            line, below = rstrip(x), lstrip(F.get(lines, s["i"] + 1))
+    def joined(lines: Column) -> Column:
+        def step(now: Column, x: Column) -> tuple[Column, Column]:
+            line, below = rstrip(x), lstrip(F.get(lines, now["i"] + 1))
             joins = line.endswith("-") & F.coalesce((below != "") & islower(F.substring(below, 1, 1)), F.lit(False))
             new = F.when(joins, F.concat(F.substring(line, F.lit(1), F.length(line) - 1), below)).otherwise(line)
-            return F.struct(F.when(s["taken"], s["out"]).otherwise(F.concat(s["out"], F.array(new))).alias("out"), (~s["taken"] & joins).alias("taken"), (s["i"] + 1).alias("i"))
+            out = F.when(now["taken"], F.array().cast("array<string>")).otherwise(F.array(new))
+            return F.struct((~now["taken"] & joins).alias("taken"), (now["i"] + 1).alias("i")), out
 
-        return F.aggregate(lines, start, step, lambda s: s["out"])
+        start = F.struct(F.lit(False).alias("taken"), F.lit(0).alias("i"))
+        return F.when(F.size(lines) == 0, lines).otherwise(fold(lines, start, "struct<taken:boolean,i:int>", "string", step, lambda now, out: out))
 
-    return join(let(splitlines(clean), fold))
+    return join(let(splitlines(clean), joined))
 
 
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, each on one line, with an empty line between them."""
-    lines = F.transform(F.split(text, "\\n", -1), strip)
-
-    def fold(lines: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("block"))
-        flush = lambda s: F.when(s["block"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["block"])))
-
-        def step(s: Column, x: Column) -> Column:
-            grown = F.when(s["block"] == "", x).otherwise(F.concat_ws(" ", s["block"], x))
-            return F.when(x == "", F.struct(flush(s).alias("out"), F.lit("").alias("block"))).otherwise(F.struct(s["out"].alias("out"), grown.alias("block")))
-
-        return F.aggregate(lines, start, step, flush)
-
-    return F.array_join(let(lines, fold), "\n\n")
+    blocks = F.split(join(F.transform(F.split(text, "\n", -1), strip)), "\n{2,}", -1)
+    flat = F.transform(blocks, lambda b: F.replace(F.btrim(b, F.lit("\n")), F.lit("\n"), F.lit(" ")))
+    return F.array_join(F.filter(flat, lambda b: b != ""), "\n\n")
 
 
 def text_for_pdf(text: Column, mode: str = "pre") -> Column:

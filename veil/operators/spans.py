@@ -76,7 +76,7 @@ def piece(parts: Column, beg: Column, size: Column) -> Column:
     return F.when(size <= 0, "").otherwise(F.substring(held, beg - first * BLOCK + 1, size))
 
 
-def _fold(items: Column, start: Column, state: str, kind: str, step, finish) -> Column:
+def fold(items: Column, start: Column, state: str, kind: str, step, finish) -> Column:
     """finish(state, out) after step(state, item) -> (state, array of what goes out) for every item; out grows by chunks, since it is copied each time."""
 
     def one(s: Column, x: Column) -> Column:
@@ -116,7 +116,7 @@ def merge(spans: Column, text: Column, touching: bool = True) -> Column:
     def whole(merged: Column) -> Column:
         return F.when(F.exists(merged, lambda s: s["text"].isNull()), let(blocks(text), lambda parts: told(merged, parts))).otherwise(merged)
 
-    folded = let(F.array_sort(spans, _by_place), lambda x: _fold(x, F.lit(None), SPAN, SPAN, step, lambda last, out: F.concat(out, F.array(last))))
+    folded = let(F.array_sort(spans, _by_place), lambda x: fold(x, F.lit(None), SPAN, SPAN, step, lambda last, out: F.concat(out, F.array(last))))
     return F.when(F.size(spans) <= 1, spans).otherwise(let(folded, whole))
 
 
@@ -149,7 +149,7 @@ def longest_first(spans: Column) -> Column:
         return F.when(meets, grown).otherwise(F.struct(s["end"].alias("end"), F.array(s).alias("own"))), F.when(meets, F.array().cast(f"array<{SPANS}>")).otherwise(F.array(now["own"]))
 
     start = F.struct(F.lit(-1).alias("end"), no_spans().alias("own"))
-    groups = let(F.array_sort(spans, _by_place), lambda x: _fold(x, start, f"struct<end:int,own:{SPANS}>", SPANS, step, lambda now, out: F.concat(out, F.array(now["own"]))))
+    groups = let(F.array_sort(spans, _by_place), lambda x: fold(x, start, f"struct<end:int,own:{SPANS}>", SPANS, step, lambda now, out: F.concat(out, F.array(now["own"]))))
     return F.when(F.size(spans) <= 1, spans).otherwise(F.flatten(F.transform(groups, chosen)))
 
 
