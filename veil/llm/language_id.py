@@ -129,7 +129,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     usable = df.where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     texts = usable.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    picked = texts.join(F.broadcast(sample(texts.select("id", "lang"), per_language, most_rows)), "id", "left_semi")
+    picked = texts.join(F.broadcast(cut(sample(texts.select("id", "lang"), per_language, most_rows))), "id", "left_semi")
     rows = _features(picked)
     rows.sort()
     if not rows:

@@ -78,4 +78,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op4_suffix_dedup": suffix_dedup.SQL, "op5_topk": topk.SQL, "op9_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op5_topk": topk.SQL, "op9_line_dedup": line_dedup.SQL}

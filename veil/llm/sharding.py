@@ -66,3 +66,20 @@ def _window(by, *order):
     from pyspark.sql import Window
 
     return Window.partitionBy(by).orderBy(*(F.col(c).asc_nulls_first() for c in order))
+
+
+#: The same in SQL for 24 shards: the jumps step by step, and CRC-32 byte by byte from its polynomial.
+SQL = f"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(0, 8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM range(0, 256) r(i))),
+d AS (SELECT doc_id, octet_length(raw) + 8 AS size,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(raw)), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda a, b: xor(t[xor(a, b) % 256 + 1], a // 256))) AS crc
+  FROM (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS h FROM documents), t),
+j AS (SELECT DISTINCT doc_id, n, (coalesce(doc_id, 0)::HUGEINT + {TWO_64}) % {TWO_64} AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM documents, (VALUES (24), (25)) v(n)
+  UNION ALL SELECT doc_id, n, key, j, floor((j + 1)::DOUBLE * ({TWO_31}::DOUBLE / (key // {TWO_33} + 1)::DOUBLE))::BIGINT
+  FROM (SELECT doc_id, n, (key * {MULTIPLIER} + 1) % {TWO_64} AS key, j FROM j WHERE j < n)),
+s AS (SELECT doc_id, max(b) FILTER (n = 24) AS shard, max(b) FILTER (n = 25) AS grown FROM j WHERE j >= n GROUP BY doc_id)
+SELECT d.doc_id, d.size, d.crc AS text_crc32, 'key' AS law, s.shard::INT AS shard,
+       row_number() OVER (PARTITION BY s.shard ORDER BY coalesce((d.doc_id % {SLICES} + {SLICES}) % {SLICES}, 0), d.doc_id NULLS FIRST, d.size, d.crc) - 1 AS slot, s.grown::INT AS grown_shard
+FROM d JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
