@@ -20,6 +20,7 @@ import hashlib
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm.common import partitions, shared_path
+from veil.llm.common import delete, partitions, shared_path
 
 MAGIC, HEAD = b"VHF1", struct.Struct("<4s6I")
 #: Longest code; ids in a block; ids after which a chunk is closed.
@@ -205,7 +206,7 @@ class WordEncoder(dict):
         self.words = parts_words(json.loads(raw))
         self.library = Tokenizer.from_str(raw.decode())
         self.size = self.library.get_vocab_size(True)
-        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.kind, self.code = (np.uint16, "H") if self.size <= 1 << 16 else (np.uint32, "I")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -217,7 +218,7 @@ class WordEncoder(dict):
             got = b""
         elif _STEM(piece):
             letters = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            got = np.array([t.id for t in self.tokenize(letters)], self.kind).tobytes()
+            got = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
         else:
             got = self._ids(piece)
         if len(piece) <= MEMO_CHARS:
@@ -227,7 +228,7 @@ class WordEncoder(dict):
         return got
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; how many each has)."""
@@ -249,7 +250,7 @@ class WordEncoder(dict):
         return ids, np.diff(ends)
 
 
-def _text_slices(b: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _text_slices(b: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch (id, text) with at most so many bytes of text, or one row."""
     size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
@@ -386,11 +387,6 @@ def read_store(spark: SparkSession, out: str, id_col: str = "doc_id", keep_ids:
     return spark.read.parquet(f"{out}/chunks").select("part", "before", "blob").mapInArrow(run, schema)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def store_documents(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the store to the shared folder and reads every document back from it.
 
