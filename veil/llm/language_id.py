@@ -8,6 +8,7 @@ wins.  A text whose cosine to every centroid is below the model's floor for text
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -125,7 +126,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learns from rows that are not held out and have text and language: at most per_language of each, most_rows in all.
 
     sample() chooses them, in a way that does not depend on partitions; texts are fetched for the chosen ids alone, whose
-    number, and so the broadcast and what comes to the driver (16 KB a row), is bounded whatever the table's size.
+    number, and so the broadcast and what comes to the driver (16 KB a row, and packed), is bounded whatever the table's size.
     """
     usable = df.where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     texts = usable.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -134,9 +135,15 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows.sort()
     if not rows:
         return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.int64), np.zeros(BINS))
-    raw = np.stack([np.frombuffer(c, np.uint16) for _, _, c in rows]).astype(np.float32)
-    idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
-    x = _weigh(raw, idf)
+    x, seen = np.empty((len(rows), DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.int64)  # one matrix, weighed in place
+    for i, (_, _, packed) in enumerate(rows):
+        x[i] = np.frombuffer(zlib.decompress(packed), np.uint16)
+        seen += x[i] > 0
+    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 1
+    np.log1p(x, out=x)
+    x *= idf
+    for i in range(len(x)):
+        x[i] /= max(np.linalg.norm(x[i]), 1e-9)
     lang = np.array([r[1] for r in rows])
     names = sorted(set(lang.tolist()))
     groups = [_cluster(x[lang == n], clusters) for n in names]
@@ -173,11 +180,11 @@ def _floors(picked: DataFrame, model: Model) -> np.ndarray:
 
 
 def _features(picked: DataFrame) -> list[tuple[int, str, bytes]]:
-    """Training rows as (id, language, counts up to 65535): a bounded number of rows of fixed size."""
+    """Training rows as (id, language, counts up to 65535, packed): a bounded number of rows of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, c, np.minimum(counts(t), 65535).astype(np.uint16).tobytes()) for i, t, c in zip(*(x.to_pylist() for x in b.columns), strict=True) if _LETTER.search(t)]
+            got = [(i, c, zlib.compress(np.minimum(counts(t), 65535).astype(np.uint16).tobytes(), 1)) for i, t, c in zip(*(x.to_pylist() for x in b.columns), strict=True) if _LETTER.search(t)]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got, strict=True)], ["id", "lang", "counts"])
 
