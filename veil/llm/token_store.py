@@ -22,6 +22,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from veil.llm.common import delete, partitions, shared_path
 MAGIC, HEAD = b"VHF1", struct.Struct("<4s6I")
 #: Longest code; ids in a block; ids after which a chunk is closed.
 LIMIT, BLOCK, CHUNK = 18, 512, 1 << 20
-MEMO, MEMO_CHARS = 600_000, 48
+#: Words in each of the memo's two generations, and the longest that it takes.
+MEMO, MEMO_CHARS = 400_000, 48
 
 
 # -- the code ---------------------------------------------------------------------------------
@@ -156,10 +158,10 @@ def read_chunk(blob: bytes, table: tuple[np.ndarray, np.ndarray], limit: int = L
 
 # -- the tokenizer ----------------------------------------------------------------------------
 
-#: Lower-case words whose way through the tokenizer is only the byte alphabet, and words that are such a one in any case and one mark at most.
+#: Lower-case words whose way through the tokenizer is only the byte alphabet, and words that are such a one in any case and then
+#: ASCII signs, which are a token of their own to it (but for the apostrophe, which also begins endings).
 _STEM = regex.compile(r"[a-zß-öø-ÿ]+").fullmatch
-_PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?]?)$"
-MARKS = ("", *".,;:!?")
+_PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-&(-/:-@\[-`{-~]*)$"
 #: How a tokenizers file says that it lower-cases, drops white space and parts letters, digits and other signs.
 _LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -191,10 +193,12 @@ class WordEncoder(dict):
 
     Tokens then never reach over a space or line feed: a batch of texts is cut there, its distinct words are looked up once each, and what
     the memo lacks goes to the library: lower-case letters to its model, all else to its whole pipeline.  With any other file the library gets whole texts.
+    A full memo becomes the older generation, from which words that come again are taken over.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -211,18 +215,20 @@ class WordEncoder(dict):
         rest = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.tokenize = self.library.model.tokenize
-        self.marks = [self._ids(m) for m in MARKS]
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece:
-            got = b""
-        elif _STEM(piece):
-            letters = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            got = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
-        else:
-            got = self._ids(piece)
+        got = self.older.get(piece)
+        if got is None:
+            if not piece:
+                got = b""
+            elif _STEM(piece):
+                letters = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+                got = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+            else:
+                got = self._ids(piece)
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[piece] = got
         return got
@@ -240,10 +246,11 @@ class WordEncoder(dict):
         told = cut.flatten().dictionary_encode()
         plain = pc.extract_regex(told.dictionary, _PLAIN)
         pieces = pc.coalesce(pc.utf8_lower(pc.struct_field(plain, "stem")), told.dictionary).dictionary_encode()
-        known = [*self.marks, *map(self.__getitem__, pieces.dictionary.to_pylist())]
+        marks = pc.fill_null(pc.struct_field(plain, "mark"), "").dictionary_encode()
+        words = [x.to_numpy(zero_copy_only=False) for x in (marks.dictionary, pieces.dictionary)]
+        known = [*map(self.__getitem__, chain(*words))]
         flat, size = np.frombuffer(b"".join(known), self.kind), np.fromiter(map(len, known), np.int64, len(known)) // width
-        mark = pc.fill_null(pc.index_in(pc.struct_field(plain, "mark"), pa.array(MARKS)), 0)
-        both = np.stack([pieces.indices.to_numpy().astype(np.int64) + len(MARKS), mark.to_numpy().astype(np.int64)], axis=1)
+        both = np.stack([pieces.indices.to_numpy().astype(np.int64) + len(words[0]), marks.indices.to_numpy().astype(np.int64)], axis=1)
         flat, size = gathered(flat, size, both.ravel())
         ids, n = gathered(flat, size.reshape(-1, 2).sum(axis=1), told.indices.to_numpy())
         ends = np.r_[0, np.cumsum(n)][cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()]
