@@ -83,7 +83,7 @@ def test_perfect_hash():
     assert sorted(h.key_at) == list(range(len(keys))) and all(h.find(k) == i for i, k in enumerate(keys))
 
 
-def test_bpe(spark, awkward, empty):
+def test_bpe(spark, awkward, empty, monkeypatch):
     path = P.path("byte_bpe_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     rng = random.Random(1)
@@ -94,6 +94,9 @@ def test_bpe(spark, awkward, empty):
         packed = struct.pack(f"<{len(ids)}I", *ids)
         assert (bytes(got[i].ids), got[i].n_tokens) == (packed, len(ids))
         assert got[i].ids_sha256 == hashlib.sha256(packed).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    monkeypatch.setattr(bpe, "MEMO", 40)  # so that pre-tokens move from generation to generation
+    codec = bpe.Codec(bpe.read_ranks(path), P.PATTERN)
+    assert all(codec.encode(t) == bytes(got[i].ids) for i, t in texts)
     rows = bpe.encode_documents(awkward, path, P.PATTERN, keep_ids=False).collect()
     assert len(rows) == len(AWKWARD) and all(r.n_tokens == 0 for r in rows if r.doc_id in (0, 1))
     assert bpe.encode_documents(empty, path, P.PATTERN).count() == 0

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
-#: Bounds of a worker's memo: entries, and bytes of a pre-token that it may hold.
-MEMO, MEMO_BYTES = 400_000, 48
+#: Bounds of a worker's memo: entries in each of its two generations, and bytes of a pre-token that it may hold.
+MEMO, MEMO_BYTES = 300_000, 48
 ID_BITS = 24
 
 
@@ -127,19 +127,25 @@ class Codec:
 
 
 class _Memo(dict):
+    """Resolved pre-tokens; a full memo becomes the older generation, from which those that come again are taken over."""
+
     def __init__(self, codec: Codec) -> None:
         super().__init__()
         self.codec = codec
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, token: str) -> bytes:
-        word = token.encode("utf-8", "surrogatepass")
-        one = self.codec.whole(word)
-        ids = [one] if one is not None else self.codec.merge(word)
-        got = pack(f"<{len(ids)}I", *ids)
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= MEMO:
-                self.clear()
-            self[token] = got
+        if (got := self.older.get(token)) is None:
+            word = token.encode("utf-8", "surrogatepass")
+            one = self.codec.whole(word)
+            ids = [one] if one is not None else self.codec.merge(word)
+            got = pack(f"<{len(ids)}I", *ids)
+            if len(word) > MEMO_BYTES:
+                return got
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[token] = got
         return got
 
 
