@@ -65,6 +65,26 @@ def test_phone_and_birth(column):
     assert hits(column, "Born on 12/03/1980. Met 01/02/1990. DOB: 1999-12-31; born 1 May 2024; date of birth March 5, 1960", birth) == ["12/03/1980", "1999-12-31", "March 5, 1960"]
 
 
+def test_phone_spans_as_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry_point
+
+    rng = random.Random(11)
+    bits = ["+1 ", "(555) ", "555-010-1234", "555 010.", "555", "010", "1234", "06-12345678", "+31 6 12345678", "٣", "a", "é", "😀", "_", "+", "(", ")", " ", ".", "-", "\n", "38.253.", "4880761348116108"]
+    given = ["by 38.253.197.126 4880761348116108", "call +1 (555) 010-1234", "x555-010-1234", "555-010-12345", "555-010-1234-555-010-1234", "٣٣٣-٣٣٣-٣٣٣٣", "", None]
+    texts = [*given, *("".join(rng.choices(bits, k=rng.randint(0, 60))) for _ in range(1500))]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, entry_point.queries()["phone_spans"](spark, str(tmp_path)).collect()))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duckdb.sql(entry_point.oracle_sql()["phone_spans"]).fetchall())
+    assert got[0] == (0, 10, 22, "197.126 4880") and len(got) > 1000
+
+
+def test_phone_leaves_parts_of_longer_numbers(column):
+    assert hits(column, "by 38.253.197.126 4880761348116108, call 555-010-1234", D.phone) == ["555-010-1234"]
+
+
 ALPHABET = ["a", "b", "Z", "é", "É", "1", "172", "10", "0", "192", "168", ".", ".", " ", "\n", "/", ":", "//", "@", "-", "(", ")", "[", "]", "<", ">", "http", "https://", "www.", "sharepoint.com/", "share", "point.com", "epoint.com", "com", "nl", ",", " ", "😀", "\t", " at ", " dot ", "born ", "1980-01-02", "+1 555 010 1234", "Mia", "New York", "](", "172.16.1.1", "192.168.0.1", "10.0.1.2", "8.8.8.8"]
 
 

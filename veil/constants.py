@@ -48,9 +48,11 @@ EMAIL = (
     r"\b[a-z0-9!#$%&'*+/=?^_`{|}~-](?:[.a-z0-9!#$%&'*+/=?^_`{|}~-]{0,62}[a-z0-9!#$%&'*+/=?^_`{|}~-])?"
     r"(?:@|\sat\s)[a-z0-9](?:(?:[a-z0-9-]{0,62}[a-z0-9])?(?:\.|\sdot\s))+[a-z]{2,63}\b"
 )
-#: North American grouping, or a Dutch number (national or +31) of ten digits.
+#: North American grouping, wherever it stands.
+PHONE_GROUPS = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+#: That grouping, or a Dutch number (national or +31) of ten digits; neither as a part of something longer.
 PHONE = (
-    r"(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+    rf"(?<![\w.+-])(?:{PHONE_GROUPS}"
     r"|(?:\+31[ -]?|0)(?:6[ -]?\d{8}|\d{2}[ -]\d{7}|\d{3}[ -]\d{6}))(?![\w-])"
 )
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec"

@@ -95,6 +95,12 @@ def phone(text: Column, rank: int) -> Column:
     return guarded(text.rlike("\\d{3}"), _plain(text, C.PHONE, "phone", rank))
 
 
+def phone_groups(text: Column, rank: int) -> Column:
+    """Every North American grouping of ASCII digits, also as a part of longer numbers, where phone() finds none; no Dutch numbers."""
+    found = F.transform(matches(text, C.PHONE_GROUPS), lambda m: span(m["beg"], m["end"], "phone", m["text"], "phone", rank))
+    return guarded(text.rlike("\\d{3}"), found)
+
+
 def private_ip(text: Column, rank: int) -> Column:
     return guarded(text.rlike("(?U)\\d\\.\\d"), _plain(text, C.PRIVATE_IP, "private_ip", rank))
 
